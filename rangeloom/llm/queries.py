@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup
+from . import bpe, chat, decontaminate, exact_dedup, toxicity
 from .common import table
 
 
+def vocabulary_path() -> str:
+    """The byte-level vocabulary of the public tokenizers on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -18,7 +33,7 @@ def op10_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op8_decontaminate, op10_chat_format)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
