@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches
 
-ORDER, SHARED = 8, 2
-CONTEXTS, PAIRS = 1 << 20, 1 << 22
+ORDER, SHARED = 6, 2
+CONTEXTS, PAIRS = 1 << 21, 1 << 23
 DISCOUNT, RARE = 0.75, 3.0
 #: Documents' worth of backing off that every context gets, so that a rare context says little by itself.
 TRUST = 25.0
@@ -73,7 +73,7 @@ def contexts(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         h[p] ^= h[p] >> np.uint64(29)
         pair = (h[p] ^ (long[p] * np.uint64(0xD6E8FEB86659FD93))) * mix
         more = np.where(back[p] - 1 >= start[p], flat[np.maximum(p - k - 1, 0)].astype(np.int64), 256)
-        yield k, p, (h[p] >> np.uint64(44)).astype(np.int64) % CONTEXTS, (pair >> np.uint64(42)).astype(np.int64) % PAIRS, more
+        yield k, p, (h[p] >> np.uint64(40)).astype(np.int64) % CONTEXTS, (pair >> np.uint64(40)).astype(np.int64) % PAIRS, more
 
 
 def flatten(vocabulary: list[bytes]) -> np.ndarray:
