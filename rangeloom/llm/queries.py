@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, quality, recurrent_lm, toxicity
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_recurrent_lm(spark, sf_dir):
+    return recurrent_lm.report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +41,7 @@ def op10_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op8_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op5_recurrent_lm, op6_quality, op8_decontaminate, op10_chat_format)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
