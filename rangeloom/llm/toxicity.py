@@ -23,6 +23,7 @@ if none is; repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,13 @@ class Model:
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"pair": self.pair, "hist": self.hist, "follow": self.follow, "known": {}}
+        """Compressed, as most of the tables' entries are zeros or small."""
+        return {n: (zlib.compress(x.tobytes(), 1), x.shape) for n, x in (("pair", self.pair), ("hist", self.hist), ("follow", self.follow))}
+
+    def __setstate__(self, state: dict) -> None:
+        for n, (raw, shape) in state.items():
+            setattr(self, n, np.frombuffer(zlib.decompress(raw), np.float32).reshape(shape))
+        self.known = {}
 
     def differences(self, vocabulary: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word, its end included."""
@@ -247,12 +254,12 @@ def _groups(counted: DataFrame) -> Iterator[tuple[int, list[bytes], np.ndarray]]
 def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (the id by default) and the score of each row."""
     keep = keep or [id_col]
-    sent = docs.sparkSession.sparkContext.broadcast((model, weights))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, w = sent.value
+        m, w = sent.value, weights
         for b in batches:
             z = m.features(b.column(b.num_columns - 1).to_pylist()) @ w[:-1] + w[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
