@@ -53,6 +53,7 @@ class MergeAutomaton:
         self.longest = max(map(len, vocab), default=1)
         self.table: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.prefixes: dict[bytes, int] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.taken.setdefault((u, v), rank)
@@ -79,22 +80,30 @@ class MergeAutomaton:
         return found
 
     def encode_bytes(self, word: bytes) -> tuple[int, ...]:
-        n, ids, longest = len(word), self.ids, self.longest
+        n, ids = len(word), self.ids
         if (whole := ids.get(word)) is not None and self._reached(whole):
             return (whole,)
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                label = ids.get(word[start:end])
-                if label is not None and (self._reached(label) if start == 0 else last[start] >= 0 and self.arc(last[start], label)):
-                    last[end] = label
-                    break
         out, end = [], n
         while end:
-            out.append(last[end])
-            end -= len(self.label[last[end]])
+            out.append(self._last(word[:end]))
+            end -= len(self.label[out[-1]])
         return tuple(reversed(out))
 
+    def _last(self, prefix: bytes) -> int:
+        """The last label of the prefix's path; prefixes are shared by many words, so they are kept."""
+        found = self.prefixes.get(prefix)
+        if found is not None:
+            return found
+        ids, end = self.ids, len(prefix)
+        found = ids.get(prefix, -1)
+        if found < 0 or not self._reached(found):
+            for start in range(max(1, end - self.longest), end):
+                found = ids.get(prefix[start:], -1)
+                if found >= 0 and self.arc(self._last(prefix[:start]), found):
+                    break
+        self.prefixes[prefix] = found
+        return found
+
     def _reached(self, label: int) -> bool:
         """Labels that no merge makes and that aren't single bytes have no arc."""
         return label in self.made or len(self.label[label]) == 1
@@ -105,6 +114,7 @@ class MergeAutomaton:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
                 self.table.clear()
+                self.prefixes.clear()
             found = self.words[word] = self.encode_bytes(word.encode("utf-8", "surrogatepass"))
         return found
 
@@ -157,6 +167,13 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, ids (array of int)."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))

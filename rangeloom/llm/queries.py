@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dup, quality, recurrent_lm, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, near_dup, quality, recurrent_lm, toxicity
 from .common import table
 
 
-def vocabulary_path() -> str:
-    """The byte-level vocabulary of the public tokenizers on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_bpe(spark, sf_dir):
-    return bpe.report(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.report(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_recurrent_lm(spark, sf_dir):
     return recurrent_lm.report(table(spark, sf_dir, "documents"))
 
@@ -41,11 +38,15 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op5_recurrent_lm, op6_quality, op7_near_dup, op8_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op4_line_dedup, op5_recurrent_lm, op6_quality, op7_near_dup, op8_decontaminate, op9_html_extract, op10_chat_format)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -54,6 +55,18 @@ ORACLES = {
         WITH d AS (SELECT doc_id, {_LOW} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op4_line_dedup": """
+        WITH l AS (SELECT x AS line, count(*) AS n_rows, min(doc_id) AS first_doc_id, sha256(x) AS sha, length(x) AS n
+                   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents) WHERE x <> '' GROUP BY x),
+        k AS (SELECT sha, n, line, unnest(range(1, n + 1)) AS i FROM l WHERE n >= 20),
+        s AS (SELECT sha, n, md5(i || ':' || line[1:i - 1] || chr(1) || line[i + 1:n]) AS m, md5(line[1:i - 1] || line[i + 1:n]) AS d FROM k),
+        e AS (SELECT a.sha AS x, b.sha AS y FROM s a JOIN s b ON a.m = b.m AND a.n = b.n AND a.sha <> b.sha
+              UNION SELECT a.sha, b.sha FROM s a JOIN l b ON a.d = md5(b.line) AND b.n = a.n - 1 AND b.n >= 20
+              UNION SELECT b.sha, a.sha FROM s a JOIN l b ON a.d = md5(b.line) AND b.n = a.n - 1 AND b.n >= 20),
+        f AS (SELECT x, count(*) AS n_links, min(struct_pack(d := first_doc_id, s := sha)) AS m FROM e JOIN l ON l.sha = e.y GROUP BY x)
+        SELECT sha AS line_sha256, n AS n_chars, n_rows, first_doc_id, coalesce(n_links, 0) AS n_links,
+               CASE WHEN m < struct_pack(d := first_doc_id, s := sha) THEN m.s ELSE sha END AS class_sha256
+        FROM l LEFT JOIN f ON f.x = l.sha""",
     "op7_near_dup": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
