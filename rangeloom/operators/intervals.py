@@ -168,8 +168,8 @@ def nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:
     back = rows.withColumns({"_back": -F.col("_chunk"), "_neg": -F.col("_at"), "_nq": -F.col("_q")})
     back = carry(back, ["chrom"], "_back", ["_neg", "_nq"], {"_r": (F.min, F.col("_right"), True)}).where("_q = 1")
     s, e = F.col("_row.start"), F.col("_row.end")
-    dl, dr = F.greatest(s - F.col("_l.e"), F.lit(0)), F.col("_r.s") - e
-    left = dr.isNull() | (dl <= dr)
+    dl, dr = F.when(F.col("_l").isNotNull(), F.greatest(s - F.col("_l.e"), F.lit(0))), F.col("_r.s") - e
+    left = dl.isNotNull() & (dr.isNull() | (dl <= dr))
     return back.select(
         "chrom", *(F.col(f"_row.{n}").alias(n) for n in names),
         F.when(left, -F.col("_l.i")).otherwise(F.col("_r.i")).alias("r_id"), F.when(left, dl).otherwise(dr).alias("distance"),

@@ -91,5 +91,5 @@ def cap(bases_: DataFrame, most: float) -> DataFrame:
 
 def unsorted(hits: DataFrame) -> DataFrame:
     """Chromosomes whose positions fall somewhere in the store's order, with the number of such places."""
-    before = F.lag("pos").over(Window.partitionBy("chrom").orderBy("hit"))
+    before = F.lag("pos").over(Window.partitionBy("chrom").orderBy("hit", "pos"))
     return hits.withColumn("_b", before).where("pos < _b").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))

@@ -70,7 +70,7 @@ def store_control_subtracted(spark, d):
 
 
 @query(f"""WITH {HITS}, a AS (SELECT chrom, pos, sum(weight) AS w FROM h GROUP BY 1, 2)
-    SELECT x.chrom, x.pos, round(sum(y.w * exp(-((x.pos - y.pos) / 50.0) ** 2 / 2)), 6) AS density FROM a x JOIN a y ON x.chrom = y.chrom AND y.pos BETWEEN x.pos - 150 AND x.pos + 150 GROUP BY 1, 2""")
+    SELECT x.chrom, x.pos, round(sum(y.w * exp(0 - ((x.pos - y.pos) / 50.0) * ((x.pos - y.pos) / 50.0) / 2)), 6) AS density FROM a x JOIN a y ON x.chrom = y.chrom AND y.pos BETWEEN x.pos - 150 AND x.pos + 150 GROUP BY 1, 2""")
 def store_density(spark, d):
     return store.density(hits(spark, d), 50).withColumn("density", F.round("density", 6))
 
@@ -80,7 +80,7 @@ def store_capped(spark, d):
     return store.cap(store.bases(hits(spark, d)), 40)
 
 
-@query(f"WITH {HITS} SELECT chrom, count(*) AS n FROM (SELECT chrom, pos, lag(pos) OVER (PARTITION BY chrom ORDER BY hit) AS b FROM h) WHERE pos < b GROUP BY 1")
+@query(f"WITH {HITS} SELECT chrom, count(*) AS n FROM (SELECT chrom, pos, lag(pos) OVER (PARTITION BY chrom ORDER BY hit, pos) AS b FROM h) WHERE pos < b GROUP BY 1")
 def store_unsorted(spark, d):
     return store.unsorted(hits(spark, d))
 
