@@ -1 +1,91 @@
+"""Queries of models and iterative operators."""
 
+from pyspark.sql import functions as F
+
+from ..fixtures import PAIRS, hits, pairs, table
+from ..operators import learn
+from .registry import query
+
+
+@query()
+def kmeans_embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    dims = e.select(F.size("embedding").alias("n")).first()["n"]
+    starts = [[(1.0 if (i + j) % 3 == 0 else -0.5) for i in range(dims)] for j in range(4)]
+    return learn.kmeans(e, "embedding", starts)[0].select("vec_id", "cluster")
+
+
+@query("""WITH c AS (SELECT [1.0, 0, 0] AS c, 0 AS k UNION ALL SELECT [0.0, 1, 0], 1 UNION ALL SELECT [0.0, 0, 1], 2),
+    d AS (SELECT vec_id, k, list_sum([(embedding[i] - c[i]) * (embedding[i] - c[i]) for i in [1, 2, 3]]) AS x FROM embeddings, c)
+    SELECT vec_id, k AS cluster FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x, k) = 1""")
+def kmeans_assignment(spark, d):
+    """Assignment only, on the first three dimensions."""
+    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 3))
+    return learn.kmeans(e, "v", [[1, 0, 0], [0, 1, 0], [0, 0, 1]], rounds=0)[0].select("vec_id", "cluster")
+
+
+@query()
+def agglomerated_suppliers(spark, d):
+    s = table(spark, d, "supplier").withColumn("v", F.array(F.col("s_acctbal") / 1000, (F.col("s_suppkey") % 10).cast("double")))
+    return learn.agglomerate(s, ["s_nationkey"], "s_suppkey", "v", 4.0)
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT pair AS id, lp AS x, rp AS y FROM p WHERE lc = rc), n AS (SELECT a.id, b.id AS i2, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM a JOIN a b ON b.x BETWEEN a.x - 3000 AND a.x + 3000 AND b.y BETWEEN a.y - 3000 AND a.y + 3000),
+    k AS (SELECT id, count(*) FILTER (d <= 1000) AS density FROM n GROUP BY 1)
+    SELECT n.id, k.density, coalesce(min(n.d) FILTER (z.density > k.density OR (z.density = k.density AND n.i2 < n.id)), 3000) AS delta FROM n JOIN k ON k.id = n.id JOIN k z ON z.id = n.i2 GROUP BY 1, 2""")
+def density_peak_pairs(spark, d):
+    p = pairs(spark, d).where("lc = rc").select(F.col("pair").alias("id"), F.col("lp").alias("x"), F.col("rp").alias("y"), F.lit(1).alias("weight"))
+    return learn.density_peaks(p, 1000).select("id", "density", "delta")
+
+
+@query()
+def mixture_by_type(spark, d):
+    m = learn.mixture(table(spark, d, "events"), "event_type", "value")
+    return m.select("event_type", "part", *(F.round(c, 6).alias(c) for c in ("weight", "mean", "sd", "log_likelihood")))
+
+
+@query()
+def viterbi_users(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("value") > 60, 2).when(F.col("value") > 30, 1).otherwise(0).alias("symbol"))
+    step = [[0.9, 0.1], [0.2, 0.8]]
+    return learn.viterbi(e, "user_id", ["ts", "event_id"], "symbol", [0.5, 0.5], step, [[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]]).select("event_id", "state")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(sum(l_extendedprice * l_quantity) / sum(l_quantity * l_quantity), 6) AS origin FROM lineitem")
+def least_squares_fit(spark, d):
+    t = table(spark, d, "lineitem")
+    b, a = learn.least_squares(t, "l_extendedprice", ["l_quantity"])
+    (o,) = learn.least_squares(t, "l_extendedprice", ["l_quantity"], intercept=False)
+    return spark.createDataFrame([(round(a, 6), round(b, 4), round(o, 6))], "slope double, intercept double, origin double")
+
+
+E = "e AS (SELECT l_suppkey AS a, l_partkey % 500 AS b, min(l_quantity) AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS distance, 0 AS k UNION ALL
+    SELECT b, min(distance + w), k + 1 FROM r JOIN e ON r.node = e.a WHERE k < 12 GROUP BY b, k) SELECT node, min(distance) AS distance FROM r GROUP BY node""")
+def shortest_path_lengths(spark, d):
+    t = table(spark, d, "lineitem").where("l_linenumber = 1")
+    return learn.shortest_paths(t.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 500).alias("b"), F.col("l_quantity").alias("w")), 1)
+
+
+@query()
+def affinity_suppliers(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    o = s.select(F.col("s_suppkey").alias("k"), "s_nationkey", F.col("s_acctbal").alias("b"))
+    sim = s.join(o, "s_nationkey").where("s_suppkey <> k").select(F.col("s_suppkey").alias("i"), "k", (-F.abs(F.col("s_acctbal") - F.col("b")) / 1000).alias("s"))
+    return learn.affinity(sim, -3.0)
+
+
+@query("SELECT event_id, CASE WHEN 0.5 * value - 0.1 * user_id - 3 >= 0 THEN 1 ELSE 0 END AS label FROM events WHERE value IS NOT NULL")
+def linear_classifier(spark, d):
+    return table(spark, d, "events").where("value IS NOT NULL").select("event_id", F.when(0.5 * F.col("value") - 0.1 * F.col("user_id") - 3 >= 0, 1).otherwise(0).alias("label"))
+
+
+@query("""WITH c AS (SELECT o_orderstatus AS y, o_orderpriority AS x, count(*) AS n FROM orders GROUP BY 1, 2) SELECT y, x, n / sum(n) OVER (PARTITION BY y) AS p, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS prior FROM c""")
+def naive_bayes_tables(spark, d):
+    from pyspark.sql import Window
+
+    c = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("y"), F.col("o_orderpriority").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    y = c.groupBy("y").agg(F.sum("n").alias("ny")).withColumn("t", F.sum("ny").over(Window.partitionBy()))
+    return c.join(y, "y").select("y", "x", (F.col("n") / F.col("ny")).alias("p"), (F.col("ny") / F.col("t")).alias("prior"))
