@@ -36,7 +36,7 @@ from .common import fold, materialize, small_batches
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
 HIDDEN, STEPS, LANES, BATCH = 24, 32, 64, 512
-WARM_DOCS, SHARE = 1500, 16
+WARM_DOCS, WARM_TOKENS, SHARE = 1500, 600_000, 16
 END = b" "
 LN10 = np.log(10)
 
@@ -112,8 +112,7 @@ class Network:
         rng = np.random.default_rng(7)
         own = np.zeros(OWN)
         own[: min(OWN, len(lex.counts))] = lex.counts[:OWN]
-        rest = np.maximum(lex.mass - np.bincount(lex.cls[:OWN], lex.counts[:OWN], SPELLED), 1) if len(lex.counts) else np.ones(SPELLED)
-        classes = np.concatenate([own.reshape(-1, GROUP).sum(1), rest]) + 1.0
+        classes = np.concatenate([own.reshape(-1, GROUP).sum(1), lex.mass]) + 0.1
         r = lambda *s: (rng.normal(size=s) * 0.15).astype(np.float32)
         return cls(
             {
@@ -272,7 +271,9 @@ def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOC
     by_hash = F.xxhash64(F.col("_id"))
     warm = train_docs.orderBy(by_hash, "_text").limit(warm_docs).select("_text").toArrow().column(0).to_pylist()
     units = lambda texts: [lex.units(lex.codes(tokens(t))) for t in texts]
-    net.train(units(warm), rate)
+    warm = units(warm)
+    tokens_there = sum(map(len, warm))
+    net.train(warm * min(100, max(1, WARM_TOKENS // max(1, tokens_there))), rate)  # a small corpus is read several times
     sent = train_docs.sparkSession.sparkContext.broadcast((lex, net.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
