@@ -216,4 +216,4 @@ def fuzzy_distinct(df: DataFrame, slack: int) -> DataFrame:
         return rows[take].drop(columns="island")
 
     starts = islands(df.withColumns({"_e": F.col("end"), "end": F.col("start")}), slack).withColumn("end", F.col("_e")).drop("_e")
-    return starts.groupBy("chrom", "island").applyInPandas(greedy, kind)
+    return starts.withColumn("island", F.floor(F.col("island") / 256)).groupBy("chrom", "island").applyInPandas(greedy, kind)  # whole islands, many a call

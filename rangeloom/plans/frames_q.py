@@ -69,10 +69,10 @@ def histogram_overflow(spark, d):
 
 
 @query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_returnflag AS s, l_extendedprice AS v FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY v) AS rk FROM k), m AS (SELECT rk, avg(v) AS normalised FROM r GROUP BY 1)
-    SELECT l_orderkey, l_linenumber, normalised FROM r JOIN m USING (rk)""")
+    SELECT l_orderkey, l_linenumber, round(normalised, 2) AS normalised FROM r JOIN m USING (rk)""")
 def quantile_normalisation(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("s"), F.col("l_extendedprice").alias("v"))
-    return fr.quantile_normalise(rows, "s", "v").select("l_orderkey", "l_linenumber", "normalised")
+    return fr.quantile_normalise(rows, "s", "v").select("l_orderkey", "l_linenumber", F.round("normalised", 2).alias("normalised"))
 
 
 @query("""SELECT o_orderstatus, coalesce(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 0) AS urgent, coalesce(sum(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 0) AS low FROM orders GROUP BY 1""")

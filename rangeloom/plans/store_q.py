@@ -49,7 +49,7 @@ def store_fetch(spark, d):
     return store.in_range(hits(spark, d), 3, 1000, 200000, True).select("hit", "pos", "weight")
 
 
-@query(f"""WITH {HITS}, u AS (SELECT * FROM h UNION ALL SELECT event_id, CAST(user_id % 8 AS INT), CAST(epoch(ts) AS BIGINT) - 1704067200, value, true, 10 FROM events)
+@query(f"""WITH {HITS}, u AS (SELECT * FROM h UNION ALL SELECT event_id, CAST(user_id % 8 AS INT), CAST(floor(epoch(ts)) AS BIGINT) - 1704067200, value, true, 10 FROM events)
     SELECT chrom, CAST((pos // 1000) * 1000 + 500 AS BIGINT) AS centre, count(*) AS n FROM u WHERE pos BETWEEN 0 AND 3000000 GROUP BY 1, 2""")
 def store_multi_histogram(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
