@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +29,25 @@ from .common import small_batches
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts below this code point are split by the standard library's engine, with the pattern's classes written out.
+LATIN = 0x250
 #: Cached words in a worker; the cache starts anew beyond it.
 CACHE_WORDS = 400_000
 
 
+def latin_split() -> re.Pattern:
+    """PRE_SPLIT for texts below LATIN: the classes are the ranges of code points that the full pattern's classes hold."""
+
+    def ranges(kind: str) -> str:
+        inside = [bool(regex.match(kind, chr(i))) for i in range(LATIN)] + [False]
+        edges = [i for i in range(LATIN + 1) if inside[i] != (inside[i - 1] if i else False)]
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2]))
+
+    letter, number, space = map(ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    short = "'s|'t|'re|'ve|'m|'ll|'d"
+    return re.compile(f"{short}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -131,6 +147,7 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre_split = regex.compile(PRE_SPLIT)
+        self.latin_split, self.beyond = latin_split(), re.compile(f"[^\x00-{chr(LATIN - 1)}]")
         self.labels = dict(self.automaton.label) | {i: s.encode() for s, i in self.added.items()}
 
     def encode(self, text: str) -> list[int]:
@@ -141,7 +158,8 @@ class Tokenizer:
             if piece in self.added:
                 out.append(self.added[piece])
             else:
-                for word in self.pre_split.findall(piece):
+                split = self.pre_split if self.beyond.search(piece) else self.latin_split
+                for word in split.findall(piece):
                     out += known.get(word) or encode_word(word)
         return out
 
