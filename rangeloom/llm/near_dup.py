@@ -3,9 +3,9 @@
 Every distinct shingle set gets a signature of SLOTS codes of BITS bits. The join finds all signatures that differ in at
 most DISTANCE codes: it splits them into CHUNKS; by the pigeonhole principle two such signatures differ in at most ERRORS
 codes of some chunk, and enumerating which code of a chunk may err (it is masked) turns that into equal keys. Sets of
-Jaccard similarity 0.85 differ in more than DISTANCE codes and also in every chunk with probability about 2e-5.
+Jaccard similarity 0.85 share no key with probability about 2e-5 (at 0.8: 3e-4).
 
-A bucket of equal keys is never expanded into its pairs. Its members within DISTANCE of each other are linked to a
+A bucket of equal keys is never expanded into its pairs. Its members within NEAR of each other are linked to a
 spanning forest by a search that compares only members not yet reached, so a bucket yields fewer links than members. The
 forests' components ("families") hold every pair under the distance. Within a family the full shingle sets are compared
 exactly, as bit rows over the family's own shingles, and again only a spanning forest of confirmed links leaves the task.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ WORDS, PERCENT = 5, 85
 SLOTS, BITS, CHUNKS, ERRORS = 30, 12, 6, 1
 WIDTH = SLOTS // CHUNKS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Signatures that share a key are taken for near up to this distance; up to DISTANCE they are sure to share one.
+NEAR = DISTANCE + 4
 BUCKET, FAMILY, WEIGHT = 4000, 400, 1_000_000
 MEMBER_BITS = 1 << 23
 _RNG = np.random.default_rng(20)
@@ -169,7 +172,7 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int, most: int | None) -> It
 
 def _signature_links(ids: list, sigs: list[bytes]) -> list[tuple]:
     code = _codes(sigs)
-    links = forest(len(ids), lambda a, b: (code[a][:, None, :] != code[b][None, :, :]).sum(2, dtype=np.uint8) <= DISTANCE, block=16)
+    links = forest(len(ids), lambda a, b: (code[a][:, None, :] != code[b][None, :, :]).sum(2, dtype=np.uint8) <= NEAR, block=16)
     return [(ids[x], ids[y]) for x, y in links]
 
 
@@ -207,7 +210,7 @@ def _without_singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield b
 
 
-def link_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def link_sets(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Sorted (task, member, shingles) to confirmed links (a, b)."""
     links: list[tuple] = []
     for _, rows in runs(batches, 1, None):
@@ -228,7 +231,7 @@ def link_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(0, len(b), 512):
                     other = b[j : j + 512]
                     both = np.bitwise_count(bits[x] & bits[other]).sum(1, dtype=np.int64)
-                    out[i, j : j + 512] = 100 * both >= PERCENT * (size[x] + size[other] - both)
+                    out[i, j : j + 512] = 100 * both >= percent * (size[x] + size[other] - both)
             return out
 
         links += [(ids[x], ids[y]) for x, y in forest(len(ids), near, block=8)]
@@ -279,8 +282,8 @@ def _member_bits(members: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id, kept."""
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, kept. Links have a similarity of at least ``percent`` hundredths."""
     spark = docs.sparkSession
     signed = materialize(sign(docs, id_col, text_col), "signed")
     sets = materialize(
@@ -320,7 +323,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     made = made.mapInArrow(pick, "member long, shingles array<long>")
     dealt = members.join(totals, "family")
     dealt = made.join(in_blocks(dealt, "family", "blocks").select("task", "member"), "member").select("task", "member", "shingles")
-    confirmed = materialize(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(link_sets, "a long, b long"), "confirmed")
+    confirmed = materialize(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(partial(link_sets, percent=percent), "a long, b long"), "confirmed")
     roots = components(confirmed)
     # every document learns its set's smallest id, then that id's root
     shared = sets.where("copies > 1").select("digest", "member", "copies")
@@ -353,7 +356,7 @@ def _slim(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One document of each group, with its own columns: the one of the smallest id."""
-    gone = annotate(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone"))
+    gone = annotate(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
