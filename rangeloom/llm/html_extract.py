@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 RUN = 6
 PORTION, SALT = 400, 2000
+#: Hosts of more than SALT pages that a broadcast may carry; beyond that number they are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
 #: Elements by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -243,6 +245,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = rows.mapInArrow(parse, f"_id {kind}, _url string, _host string, roles array<int>, texts array<string>")
     large = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SALT)
     large = large.select(F.col("_host").alias("_large"), F.ceil(F.col("_n") / (SALT // 2)).alias("_salts"))
+    large = materialize(large, "large-hosts")
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
     dealt = parsed.join(large, F.col("_host") == F.col("_large"), "left").drop("_large")
     dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_salts")
     dealt = dealt.repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "_id", "_url").drop("_salt")
