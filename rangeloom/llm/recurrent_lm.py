@@ -72,6 +72,20 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select("_text").mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent tokens, at most so many: those from the least count (in steps of an eighth power of two) that allows it.
+
+    The steps' totals are a few hundred rows, so no task gathers candidates of all partitions.
+    """
+    step = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["k"]):
+        if r["c"] > left:
+            break
+        left, least = left - r["c"], r["k"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 class Lexicon(dict):
     """Rank of a head token; for others -1 - spelled class. Holds the head's log10 shares."""
 
@@ -242,34 +256,73 @@ class Network:
         """Sum of log P over each document's units, whole documents, state carried from window to window."""
         total = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        inputs = self.p["x"] + self.p["b"]
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            own = [docs[j] for j in rows]
-            length = np.array([len(d) for d in own])
+            flat = np.concatenate([docs[j] for j in rows])
+            length = np.array([len(docs[j]) for j in rows])
+            start = np.cumsum(length) - length
             h = np.zeros((len(rows), HIDDEN), np.float32)
             for a in range(0, int(length.max(initial=0)), STEPS):
                 k = int((length > a).sum())  # longest first, so those still running are the first k
-                steps = min(STEPS, int(length[0]) - a)
-                y = np.zeros((steps, k), np.int64)
-                x = np.full((steps, k), INPUTS - 1)
-                live = np.arange(a, a + steps)[:, None] < length[:k]
-                for j in range(k):
-                    d = own[j][a : a + steps]
-                    y[: len(d), j] = d
-                    first = own[j][max(a - 1, 0) : a + steps - 1]
-                    first = first[: steps - (a == 0)]
-                    x[int(a == 0) : int(a == 0) + len(first), j] = first
-                hs, h, _ = self.walk(x, h[:k])
-                at = live.reshape(-1)
-                out = self.outputs(hs.reshape(-1, HIDDEN)[at], y.reshape(-1)[at])[0]
-                total[rows[:k]] += np.bincount(np.nonzero(at)[0] % k, out, k)
+                step = np.arange(a, min(a + STEPS, int(length[0])))[:, None]
+                live = step < length[:k]
+                at = start[:k] + np.minimum(step, length[:k] - 1)
+                x = np.where(step > 0, flat[np.maximum(at - 1, 0)], INPUTS - 1)
+                hs, h = self.run(inputs, x, h[:k])
+                live = live.reshape(-1)
+                out = self.log_probabilities(hs.reshape(-1, HIDDEN)[live], flat[at].reshape(-1)[live])
+                total[rows[:k]] += np.bincount(np.flatnonzero(live) % k, out, k)
         return total
 
+    def run(self, inputs: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As walk, for scoring only: inputs hold the bias, and nothing is kept for a way back."""
+        u, hs = self.p["u"], np.empty((*x.shape, HIDDEN), np.float32)
+        for t in range(len(x)):
+            a, g = inputs[x[t]], h @ u
+            zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n = g[:, 2 * HIDDEN :]
+            n *= zr[:, HIDDEN:]
+            n += a[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:, :HIDDEN]
+            h += n
+            hs[t] = h
+        return hs, h
+
+    def log_probabilities(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """As the first of outputs, without what only training needs; logits stay small enough for float32 exponentials."""
+        p = self.p
+        k = np.where(unit < OWN, unit // GROUP, unit - OWN + OWN // GROUP)
+        logits = h @ p["c"]
+        logits += p["cb"]
+        np.clip(logits, -80, 80, out=logits)
+        out = logits[np.arange(len(k)), k].astype(float)
+        np.exp(logits, out=logits)
+        out -= np.log(logits @ np.ones(CLASSES, np.float32))
+        own = np.flatnonzero(unit < OWN)
+        unit = unit[own]
+        order = np.argsort(unit, kind="stable")
+        own, unit = own[order], unit[order]
+        edges = np.searchsorted(unit, np.arange(0, OWN + 1, GROUP))
+        m, mb = p["m"].reshape(-1, GROUP, HIDDEN), p["mb"].reshape(-1, GROUP)
+        for c in np.flatnonzero(np.diff(edges)):
+            rows = own[edges[c] : edges[c + 1]]
+            z = np.clip(h[rows] @ m[c].T + mb[c], -80, 80)
+            out[rows] += z[np.arange(len(rows)), unit[edges[c] : edges[c + 1]] - c * GROUP] - np.log(np.exp(z).sum(1))
+        return out
+
 
 def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOCS, share: int = SHARE, rate: float = 4e-3) -> Network:
     net = Network.fresh(lex)
     by_hash = F.xxhash64(F.col("_id"))
-    warm = train_docs.orderBy(by_hash, "_text").limit(warm_docs).select("_text").toArrow().column(0).to_pylist()
+    least = train_docs.select(by_hash.alias("h")).orderBy("h").limit(warm_docs).agg(F.max("h")).first()[0]  # hashes only, no texts, meet here
+    warm = train_docs.where(by_hash <= F.lit(least)).select("_text").toArrow().column(0).to_pylist() if least is not None else []
     units = lambda texts: [lex.units(lex.codes(tokens(t))) for t in texts]
     warm = units(warm)
     tokens_there = sum(map(len, warm))
@@ -305,7 +358,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     mass = np.full(SPELLED, 0.5)
     for cls, m in counts.groupBy("cls").agg(F.sum(F.col("n") + 0.5)).collect():  # SPELLED rows
         mass[cls] += m
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = frequent(counts, HEAD).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     lex = Lexicon(head.column("word").to_pylist(), head.column("n").to_numpy().astype(float), total, distinct, mass)
     # frequent tokens have vectors of their own: only the others share their class's mass
     for w, n in zip(lex.words[:OWN], lex.counts[:OWN]):
