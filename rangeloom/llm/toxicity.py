@@ -28,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches
@@ -99,7 +100,7 @@ class Counts:
     PART, SEEN = 20_000, 1 << 24
 
     def __init__(self):
-        self.raw = np.zeros((2, PAIRS), np.float32)
+        self.raw = np.zeros((2, PAIRS), np.uint16)  # no count exceeds the sample's documents
         self.context = np.zeros(PAIRS, np.int32)
         self.low = np.zeros(PAIRS, bool)
         self.seen = np.zeros(self.SEEN, bool)
@@ -117,18 +118,25 @@ class Counts:
                 first = first[~self.seen[keys]]
                 self.seen[keys] = True
                 kinds, total = np.unique(pair[first], return_counts=True)
-                self.raw[:, kinds] += total
+                self.raw[:, kinds] = np.minimum(self.raw[:, kinds] + total, 65535)
                 self.low[kinds] = True
             else:
                 kinds, which = np.unique(pair, return_inverse=True)
-                self.raw[label, kinds] += np.bincount(which, weight[p])
+                self.raw[label, kinds] = np.minimum(self.raw[label, kinds] + np.bincount(which, weight[p]), 65535)
             self.context[pair] = context
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Discounted continuations, and each context's total and taken weight, by class."""
-        take = np.minimum(self.raw, np.where(self.low, DISCOUNT, RARE).astype(np.float32))
-        sums = [np.stack([np.bincount(self.context, x[c], CONTEXTS) for c in (0, 1)]).astype(np.float32) for x in (self.raw, take)]
-        return self.raw - take, *sums
+        """Continuation counts, and each context's total and discounted weight, by class; a slice at a time."""
+        total, taken = (np.zeros((2, CONTEXTS), np.float32) for _ in range(2))
+        for i in range(0, PAIRS, 1 << 20):
+            at = slice(i, i + (1 << 20))
+            low = np.where(self.low[at], DISCOUNT, RARE)
+            for c in (0, 1):
+                some = np.flatnonzero(self.raw[c, at])
+                context, n = self.context[at][some], self.raw[c, at][some].astype(float)
+                total[c] += np.bincount(context, n, CONTEXTS)
+                taken[c] += np.bincount(context, np.minimum(n, low[some]), CONTEXTS)
+        return self.raw, total, taken
 
 
 class Model:
@@ -140,21 +148,23 @@ class Model:
 
     def __getstate__(self) -> dict:
         """Compressed, as most of the tables' entries are zeros or small."""
-        return {n: (zlib.compress(x.tobytes(), 1), x.shape) for n, x in (("pair", self.pair), ("hist", self.hist), ("follow", self.follow))}
+        return {n: (zlib.compress(memoryview(x).cast("B"), 1), x.shape, x.dtype.str) for n, x in (("pair", self.pair), ("hist", self.hist), ("follow", self.follow))}
 
     def __setstate__(self, state: dict) -> None:
-        for n, (raw, shape) in state.items():
-            setattr(self, n, np.frombuffer(zlib.decompress(raw), np.float32).reshape(shape))
+        for n, (raw, shape, kind) in state.items():
+            setattr(self, n, np.frombuffer(zlib.decompress(raw), kind).reshape(shape))
         self.known = {}
 
     def differences(self, vocabulary: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word, its end included."""
         flat = flatten(vocabulary)
         p = np.full((2, len(flat)), 1 / 256)
-        for _, at, context, pair, _ in contexts(flat):
+        for k, at, context, pair, _ in contexts(flat):
+            low = DISCOUNT if k <= SHARED else RARE
             for c in (0, 1):
                 h = self.hist[c][context]
-                p[c][at] = (np.minimum(self.pair[c][pair], h) + (np.minimum(self.follow[c][context], h) + TRUST) * p[c][at]) / (h + TRUST)
+                n = np.maximum(self.pair[c][pair] - np.float32(low), 0)
+                p[c][at] = (np.minimum(n, h) + (np.minimum(self.follow[c][context], h) + TRUST) * p[c][at]) / (h + TRUST)
         d = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
         ends = np.cumsum([len(w) + 1 for w in vocabulary])
         return np.clip(np.diff(np.concatenate([[0], np.cumsum(d[1:])[ends - 1]])), LEAST, MOST)
@@ -214,16 +224,16 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_labels: int
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "_id").select("label", "fold", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labels: int = MAX_LABELS) -> tuple[Model, np.ndarray]:
-    """The counted model (folds 1 to 3) and the weights of its features (fitted on fold 4)."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labels: int = MAX_LABELS) -> tuple[Broadcast, np.ndarray]:
+    """The counted model (folds 1 to 3), as a broadcast, and the weights of its features (fitted on fold 4)."""
     rows = small_batches(labelled(docs, labels, label_col, max_labels))
     counted = rows.where("fold <> 4").select("label", "text").mapInArrow(count_batches, "label int, word binary, n long")
     counted = counted.groupBy("label", "word").agg(F.sum("n").alias("n"))
     counts = Counts()
     for label, word, n in _groups(counted):
         counts.add(label, word, n)
-    model = Model(counts)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(counts))  # the driver keeps no copy
+    del counts
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,14 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
     y = seen.column("label").to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
-        return model, np.array([0.0] * N_FEATURES + [np.log(share / (1 - share))])
+        return sent, np.array([0.0] * N_FEATURES + [np.log(share / (1 - share))])
     x = np.array(seen.column("x").to_pylist())
-    return model, fit_logistic(x, y)
+    return sent, fit_logistic(x, y)
 
 
 def _groups(counted: DataFrame) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """The sample's words, a part at a time; their number is bounded with the sample."""
-    table = counted.toArrow()
+    table = counted.toArrow().sort_by([("label", "ascending"), ("word", "ascending")])  # one order, one result
     for i in range(0, table.num_rows, Counts.PART):
         part = table.slice(i, Counts.PART)
         label, word, n = part.column("label").to_numpy(), part.column("word").to_pylist(), part.column("n").to_numpy()
@@ -251,10 +261,9 @@ def _groups(counted: DataFrame) -> Iterator[tuple[int, list[bytes], np.ndarray]]
                 yield c, [word[i] for i in at], n[at]
 
 
-def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, sent: Broadcast, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (the id by default) and the score of each row."""
     keep = keep or [id_col]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _score double"
 
