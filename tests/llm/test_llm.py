@@ -192,6 +192,27 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_links_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    random.seed(10)
+    lines = {"".join(random.choice("abé ") for _ in range(random.choice([9, 10, 19, 25, 33, 64]))) for _ in range(12)}
+    for s in sorted(lines) * 12:
+        for _ in range(random.randrange(1, 8)):
+            i = random.randrange(len(s))
+            s = random.choice([s[:i] + s[i + 1 :], s[:i] + "Z" + s[i:], s[:i] + "Y" + s[i + 1 :]])
+        lines.add(s)
+    lines |= {"the report was sent to the big office", "the report was sent to the city office"}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.sha2("line", 256).alias("sha"))
+    sha = {hashlib.sha256(x.encode()).hexdigest(): x for x in lines}
+    pairs = [(a, b, min(len(a), len(b)), edit(a, b)) for a, b in itertools.combinations(lines, 2)]
+    of = lambda found: {tuple(sorted((sha[r["sa"]], sha[r["sb"]]))) for r in found.collect()}
+    want = {(a, b) for a, b, n, d in pairs if d <= min(6, n // 10)}
+    assert of(line_dedup.links(df)) == want and ("the report was sent to the big office", "the report was sent to the city office") not in of(line_dedup.links(df, lambda m: F.lit(1), 1))
+    assert of(line_dedup.links(df, lambda m: F.when(m >= 9, 3).otherwise(0), 3)) == {(a, b) for a, b, n, d in pairs if d <= 3 and n >= 9}
+
+
 def test_bpe_equals_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.vocabulary_path()
