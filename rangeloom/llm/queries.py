@@ -22,6 +22,10 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_line_cut(spark, sf_dir):
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_recurrent_lm(spark, sf_dir):
     return recurrent_lm.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op4_line_dedup, op5_recurrent_lm, op6_quality, op7_near_dup, op8_decontaminate, op9_html_extract, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_exact_dedup, op4_line_dedup, op4_line_cut, op5_recurrent_lm, op6_quality, op7_near_dup, op8_decontaminate, op9_html_extract, op10_chat_format)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

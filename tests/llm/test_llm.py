@@ -213,6 +213,24 @@ def test_line_links_equal_brute_force(spark):
     assert of(line_dedup.links(df, lambda m: F.when(m >= 9, 3).otherwise(0), 3)) == {(a, b) for a, b, n, d in pairs if d <= 3 and n >= 9}
 
 
+def test_lines_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    a, b, c = (f"the long line that stands here number {x} and goes on" for x in ("xx", "xy", "yy"))  # a-b and b-c are one edit apart, a-c two
+    rows = [(5, f"{c}\n\nown\n{a}"), (2, f"{a}\n{b}\nown"), (3, None), (4, ""), (None, "own\nlast"), (None, "own\nlast"), (2, "more\nmore"), (1, "x\n" + c)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("line", F.lit("l"))
+    one = lambda m: F.when(m >= 20, 1).otherwise(0)
+    got = line_dedup.deduplicate(docs, limit=one, most=1)
+    assert got.columns == docs.columns
+    want = [(1, "x\n" + c), (2, "more"), (2, "own"), (3, None), (4, ""), (5, ""), (None, "last"), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    places = line_dedup.members(docs, limit=one, most=1).collect()
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b, c)}
+    assert len(places) == 14 and {r["class_sha256"] for r in places if r["line_sha256"] in sha.values()} == {min(sha.values())}
+    assert sorted((r["doc_id"], r["at"]) for r in places if r["kept"] and r["doc_id"]) == [(1, 0), (1, 1), (2, 0), (2, 2)]
+    assert line_dedup.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_bpe_equals_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.vocabulary_path()
