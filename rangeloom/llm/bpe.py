@@ -33,6 +33,8 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LATIN = 0x250
 #: Cached words in a worker; the cache starts anew beyond it.
 CACHE_WORDS = 400_000
+#: Words of more bytes go position by position and are not kept, so depth and what a worker keeps are bounded.
+SHORT_WORD = 128
 
 
 def latin_split() -> re.Pattern:
@@ -96,17 +98,17 @@ class MergeAutomaton:
         return found
 
     def encode_bytes(self, word: bytes) -> tuple[int, ...]:
-        n, ids = len(word), self.ids
-        if (whole := ids.get(word)) is not None and self._reached(whole):
+        if (whole := self.ids.get(word)) is not None and self._reached(whole):
             return (whole,)
-        out, end = [], n
+        last = self._lasts(word) if len(word) > SHORT_WORD else None
+        out, end = [], len(word)
         while end:
-            out.append(self._last(word[:end]))
+            out.append(last[end] if last else self._last(word[:end]))
             end -= len(self.label[out[-1]])
         return tuple(reversed(out))
 
     def _last(self, prefix: bytes) -> int:
-        """The last label of the prefix's path; prefixes are shared by many words, so they are kept."""
+        """The last label of a short prefix's path; prefixes are shared by many words, so they are kept."""
         found = self.prefixes.get(prefix)
         if found is not None:
             return found
@@ -120,6 +122,19 @@ class MergeAutomaton:
         self.prefixes[prefix] = found
         return found
 
+    def _lasts(self, word: bytes) -> list[int]:
+        """The last label of each prefix's path, position by position: a word of any length takes no recursion."""
+        ids, longest, last = self.ids, self.longest, [-1]
+        for end in range(1, len(word) + 1):
+            found = ids.get(word[:end], -1) if end <= longest else -1
+            if found < 0 or not self._reached(found):
+                for start in range(max(1, end - longest), end):
+                    found = ids.get(word[start:end], -1)
+                    if found >= 0 and self.arc(last[start], found):
+                        break
+            last.append(found)
+        return last
+
     def _reached(self, label: int) -> bool:
         """Labels that no merge makes and that aren't single bytes have no arc."""
         return label in self.made or len(self.label[label]) == 1
@@ -131,7 +146,10 @@ class MergeAutomaton:
                 self.words.clear()
                 self.table.clear()
                 self.prefixes.clear()
-            found = self.words[word] = self.encode_bytes(word.encode("utf-8", "surrogatepass"))
+            raw = word.encode("utf-8", "surrogatepass")
+            found = self.encode_bytes(raw)
+            if len(raw) <= SHORT_WORD:
+                self.words[word] = found
         return found
 
 

@@ -248,6 +248,16 @@ def test_bpe_equals_library(spark):
     assert bpe.report(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def test_bpe_long_words_equal_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.vocabulary_path()
+    lib, own = tokenizers.Tokenizer.from_file(path), bpe.tokenizer_of(bpe.read_vocabulary(path))
+    random.seed(12)
+    letters, han = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(5000))
+    for t in (letters, "".join(random.choices("ACGT", k=3000)), han, "a" * 5000):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids and own.decode(own.encode(t)) == t
+
+
 def labelled(spark, n, word, kind):
     random.seed(12)
     docs, labels = [], []
