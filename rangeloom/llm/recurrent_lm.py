@@ -7,8 +7,7 @@ factor is a softmax over the class's vectors for frequent tokens and the token's
 the others; an unseen token has c = 0, and each spelled class keeps 0.5 for one such token, so probabilities sum to 1.
 
 The model is trained by truncated backpropagation in numpy: first on the driver on at most ``WARM_DOCS`` documents, then,
-starting from there, once over the ``SHARE``-th part of all training documents (those whose id hash is divisible by
-``SHARE``, so what training reads grows with the corpus), in each partition by itself; the weights are averaged by tokens.
+starting from there, once over all training documents, in each partition by itself; the weights are averaged by tokens.
 Scoring walks whole documents in windows of ``STEPS`` tokens and carries the state from window to window.
 
 Lookups: the ``HEAD`` most frequent tokens and their counts go to every executor (a fixed number); tokens beyond it, of
@@ -36,7 +35,7 @@ from .common import fold, materialize, small_batches
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
 HIDDEN, STEPS, LANES, BATCH = 24, 32, 64, 512
-WARM_DOCS, WARM_TOKENS, SHARE = 1500, 600_000, 16
+WARM_DOCS, WARM_TOKENS = 1500, 600_000
 END = b" "
 LN10 = np.log(10)
 
@@ -120,6 +119,7 @@ class Network:
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
+        self.seen = 0  # tokens that the averaged weights were trained on
 
     @classmethod
     def fresh(cls, lex: Lexicon) -> Network:
@@ -318,7 +318,7 @@ class Network:
         return out
 
 
-def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOCS, share: int = SHARE, rate: float = 4e-3) -> Network:
+def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOCS, rate: float = 4e-3) -> Network:
     net = Network.fresh(lex)
     by_hash = F.xxhash64(F.col("_id"))
     least = train_docs.select(by_hash.alias("h")).orderBy("h").limit(warm_docs).agg(F.max("h")).first()[0]  # hashes only, no texts, meet here
@@ -338,10 +338,10 @@ def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOC
         flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float) * seen
         yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), seen), pa.int64())], ["i", "v", "n"])
 
-    part = train_docs.where(F.pmod(by_hash, F.lit(share)) == 0)
-    got = small_batches(part).select("_text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+    got = small_batches(train_docs).select("_text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
     i, v, n = (got.column(c).to_numpy() for c in ("i", "v", "n"))
-    if len(n) and n.max() > 0:
+    net.seen = int(n.max()) if len(n) else 0
+    if net.seen:
         flat = np.zeros(len(i))
         flat[i] = v / n
         cuts = np.cumsum([x.size for x in net.p.values()])[:-1]

@@ -338,6 +338,17 @@ def test_language_model(spark, monkeypatch):
     assert recurrent_lm.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_network_trains_on_all_documents(spark):
+    texts = ["one two three " * (i % 7) for i in range(120)]
+    words = collections.Counter(w for t in texts for w in recurrent_lm.tokens(t))
+    mass = np.full(recurrent_lm.SPELLED, 0.5)
+    for w, n in words.items():
+        mass[recurrent_lm.spelled(w)] += n + 0.5
+    lex = recurrent_lm.Lexicon(list(words), np.array(list(words.values()), float), sum(words.values()), len(words), mass)
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    assert recurrent_lm.train_network(docs, lex, warm_docs=2).seen == sum(words.values())
+
+
 def test_network_gradients_and_windows():
     lex = recurrent_lm.Lexicon([b"a", b"b"], np.array([5.0, 3.0]), 8, 2, np.full(recurrent_lm.SPELLED, 0.5))
     net = recurrent_lm.Network.fresh(lex)
