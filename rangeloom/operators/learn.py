@@ -145,20 +145,19 @@ def least_squares(df: DataFrame, y: str, xs: list[str], intercept: bool = True)
     return np.linalg.lstsq(m, np.array([r[f"b{i}"] for i in range(n)]), rcond=None)[0].tolist()
 
 
-def shortest_paths(edges: DataFrame, source: int, rounds: int = 50) -> DataFrame:
-    """node, distance from a source over edges (a, b, w), by relaxation until nothing changes."""
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """node, distance from a source over edges (a, b, w >= 0), by relaxation until nothing changes."""
     spark = edges.sparkSession
     best = materialize(spark.createDataFrame([(source, 0.0)], "node long, distance double"), "paths")
     e = edges.groupBy("a", "b").agg(F.min("w").alias("w"))
     before = None
-    for _ in range(rounds):
+    while True:
         step = best.join(e, best["node"] == e["a"]).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
         best = materialize(best.unionByName(step).groupBy("node").agg(F.min("distance").alias("distance")), "paths")
         now = best.agg(F.count(F.lit(1)), F.sum("distance")).first()
         if now == before:
-            break
+            return best
         before = now
-    return best
 
 
 def affinity(similarities: DataFrame, preference: float, rounds: int = 15, damping: float = 0.5) -> DataFrame:

@@ -138,3 +138,11 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in text.read_frame(spark, str(tmp_path / "f.txt"), "a int,b double").collect()] == [(1, None), (None, 2.5)]
     (tmp_path / "m.txt").write_text(">M1 x\nA [1 2]\nC [3 4]\nG [5 6]\nT [7 8]\n")
     assert {(r["letter"], r["pos"]): r["weight"] for r in text.read_matrices(spark, str(tmp_path / "m.txt")).collect()}[("G", 1)] == 6.0
+
+
+def test_shortest_paths_go_to_the_end(spark):
+    from rangeloom.operators import learn
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(55)], "a long, b long, w double").coalesce(1)
+    got = {r["node"]: r["distance"] for r in learn.shortest_paths(edges, 0).collect()}
+    assert got == {i: float(i) for i in range(56)}
