@@ -6,9 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import carry
+from ..tables import materialize
+
 
 def _log_choose(n: float, k: np.ndarray) -> np.ndarray:
     lg = np.vectorize(math.lgamma, otypes=[float])
@@ -83,13 +86,14 @@ def z_two_proportions(a: Column, na: Column, b: Column, nb: Column) -> Column:
     return F.try_divide(a / na - b / nb, F.sqrt(p * (1 - p) * (1 / na + 1 / nb)))
 
 
+def in_order(df: DataFrame, order: list) -> DataFrame:
+    """The rows dealt out by ranges of the order, with the number of their range as ``_part`` (written once, so it is fixed)."""
+    return materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Position in a total order. The sort is by range partitions; positions before each come from the partitions' counts."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.withColumn(name, local).join(F.broadcast(counts.select("_part", "_before")), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    """Position in a total order: within ranges, and carried over the ranges' counts."""
+    return carry(in_order(df, order), [], "_part", order, {name: (F.sum, F.lit(1).cast("long"), True)}).drop("_part")
 
 
 def bh(df: DataFrame, p: str, ties: list[str], clip: bool = False) -> DataFrame:
@@ -107,19 +111,36 @@ def step_up(df: DataFrame, p: str, ties: list[str], rate: float) -> DataFrame:
     return out.join(F.broadcast(last)).where(F.col("rank") <= F.col("_last")).drop("_last", "q", "rank")
 
 
+def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row a distinct score: rows of either label there (_p, _n), and at better or equal scores (_cp, _cn)."""
+    one = F.col(label).cast("long")
+    by = df.groupBy(score).agg(F.sum(one).alias("_p"), F.sum(1 - one).alias("_n"))
+    return carry(in_order(by, [F.desc(score)]), [], "_part", [F.desc(score)], {"_cp": (F.sum, F.col("_p"), True), "_cn": (F.sum, F.col("_n"), True)}).drop("_part")
+
+
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row a distinct score, best first: score, tpr, fpr (cumulative, ties together)."""
-    by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
-    w = Window.orderBy(F.desc(score))
+    by = _cumulated(df, score, label)
     total = by.agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return by.select(score, F.sum("_p").over(w).alias("_cp"), F.sum("_n").over(w).alias("_cn")).join(F.broadcast(total)).select(score, F.try_divide("_cp", "_tp").alias("tpr"), F.try_divide("_cn", "_tn").alias("fpr"))
+    return by.join(F.broadcast(total)).select(score, F.try_divide("_cp", "_tp").alias("tpr"), F.try_divide("_cn", "_tn").alias("fpr"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by rank sums (ties count half)."""
-    by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("_b", below).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"))
+    by = _cumulated(df, score, label)
+    total = by.agg(F.sum("_n").alias("_tn"))
+    worse = F.col("_tn") - F.col("_cn")
+    return by.join(F.broadcast(total)).agg(F.try_divide(F.sum(F.col("_p") * (worse + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"))
+
+
+def partial_auc(df: DataFrame, score: str, label: str, most: float) -> DataFrame:
+    """Area under the curve up to a false positive rate of ``most``, by trapezoids, the last one cut at it."""
+    by = roc(df, score, label)
+    steps = carry(in_order(by, ["fpr", "tpr"]), [], "_part", ["fpr", "tpr"], {"_before": (F.max, F.struct("fpr", "tpr"), False)})
+    x0, y0 = F.coalesce("_before.fpr", F.lit(0.0)), F.coalesce("_before.tpr", F.lit(0.0))
+    x1 = F.least("fpr", F.lit(most))
+    y1 = y0 + F.coalesce(F.try_divide((F.col("tpr") - y0) * (x1 - x0), F.col("fpr") - x0), F.col("tpr") - y0)
+    return steps.where(x0 <= most).agg(F.sum((x1 - x0) * (y0 + y1) / 2).alias("auc"))
 
 
 def entropy(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import in_order
+from .intervals import carry
+
 
 def join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner equi-join in which null keys match null; both rows are nested."""
@@ -61,7 +64,14 @@ def histogram(df: DataFrame, value: str, low: float, width: float, bins: int, cl
 
 
 def quantile_normalise(df: DataFrame, sample: str, value: str) -> DataFrame:
-    """Each value replaced by the mean, over samples, of the values of its rank (ties share a rank)."""
-    ranked = df.withColumn("_rank", F.rank().over(Window.partitionBy(sample).orderBy(value)))
-    means = ranked.groupBy("_rank").agg(F.avg(value).alias("normalised"))
-    return ranked.join(means, "_rank").drop("_rank")
+    """Each value replaced by the mean, over samples, of the values of its rank (ties share a rank).
+
+    Ranks come from the counts of distinct values, dealt out by ranges, so no sample is one task. A rank's values, at most one
+    a sample, are added in ascending order, so the means don't depend on the partitioning.
+    """
+    counts = df.groupBy(sample, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = carry(in_order(counts, [sample, value]), [sample], "_part", [value], {"_rank": (F.sum, F.col("_n"), False)})
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "_n"))), F.lit(0.0), lambda t, x: t + x["v"] * x["_n"])
+    means = ranks.groupBy("_rank").agg((total / F.sum("_n")).alias("normalised"))
+    known = ranks.select(F.col(sample).alias("_s"), F.col(value).alias("_v"), "_rank").join(means, "_rank").drop("_rank")
+    return df.join(known, F.col(sample).eqNullSafe(F.col("_s")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_s", "_v")

@@ -11,69 +11,103 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 BIN, COARSE, MOST_BINS = 2048, 64, 32
 CHUNK = 1 << 16
 
 
-def _binned(df: DataFrame, side: str) -> DataFrame:
-    """Each interval at level 0 in all its bins unless those are many, and at level 1 in its coarse bins."""
+def _binned(df: DataFrame, meets_short: int, meets_long: int) -> DataFrame:
+    """Each interval once a bin and length class of the other side that it can meet, as _class and _bin.
+
+    Classes: 0 short with short (fine bins); 1 short left, long right; 2 long left, short right; 3 long with long (coarse).
+    """
     s, e = F.col("start"), F.col("end")
     short = F.floor((e - s) / BIN) < MOST_BINS
-    level = lambda n, width: F.transform(
-        F.sequence(F.floor(s / width), F.floor(e / width)), lambda b: F.struct(F.lit(n).alias("level"), b.alias("bin"))
+    at = lambda n, width: F.transform(
+        F.sequence(F.floor(s / width), F.floor(e / width)), lambda b: F.struct(F.lit(n).alias("c"), b.alias("b"))
     )
-    none = F.expr("cast(array() as array<struct<level:int,bin:bigint>>)")
-    rows = df.withColumn("_short", short).withColumn("_at", F.explode(F.concat(F.when(short, level(0, BIN)).otherwise(none), level(1, BIN * COARSE))))
-    return rows.select("*", F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin")).drop("_at").withColumnRenamed("_short", f"_short_{side}")
+    cells = F.when(short, F.concat(at(0, BIN), at(meets_long, BIN * COARSE))).otherwise(F.concat(at(meets_short, BIN * COARSE), at(3, BIN * COARSE)))
+    return df.withColumn("_at", F.explode(cells)).select("*", F.col("_at.c").alias("_class"), F.col("_at.b").alias("_bin")).drop("_at")
 
 
 def interval_join(left: DataFrame, right: DataFrame, how: str = "overlap", gap: int = 0, small: bool = False) -> DataFrame:
     """Pairs of left and right rows, the right's columns prefixed with ``r_``, that overlap (or lie within ``gap``), or
     ("contains" / "within") of which one holds the other.
 
-    Both sides go to all fixed-width bins they touch and meet by (chrom, level, bin). Two short intervals meet at the fine
-    level, any pair with a long one at the coarse level, and each pair is kept in the first bin both touch, so there is no
-    duplicate to remove and one interval that spans everything costs few rows. ``small`` broadcasts the right side; say so
-    only for a side of a checked size.
+    Both sides go to fixed-width bins and meet by (chrom, length class of both, bin), so two short intervals only ever meet
+    in a fine bin, and only pairs with a long one meet in coarse bins. Each pair is kept in the first bin both touch, so there
+    is no duplicate to remove and one interval that spans everything costs few rows. ``small`` broadcasts the right side; say
+    so only for a side of a checked size.
     """
     widened = left.withColumns({"_s": F.col("start"), "_e": F.col("end")})
     if gap:
         widened = widened.withColumns({"start": F.greatest(F.col("start") - gap, F.lit(0)), "end": F.col("end") + gap})
-    a = _binned(widened, "l")
-    b = _binned(right, "r")
-    b = b.select(F.col("chrom"), "_level", "_bin", "_short_r", *(F.col(c).alias(f"r_{c}") for c in right.columns if c != "chrom"))
+    a = _binned(widened, 2, 1)
+    b = _binned(right, 1, 2)
+    b = b.select(F.col("chrom"), "_class", "_bin", *(F.col(c).alias(f"r_{c}") for c in right.columns if c != "chrom"))
     if small:
         b = F.broadcast(b)
-    joined = a.join(b, ["chrom", "_level", "_bin"])
-    level = F.when(F.col("_short_l") & F.col("_short_r"), 0).otherwise(1)
-    width = F.when(F.col("_level") == 0, F.lit(BIN)).otherwise(F.lit(BIN * COARSE))
-    keep = (
-        (F.col("_level") == level)
-        & (F.col("_bin") == F.floor(F.greatest("start", "r_start") / width))
-        & (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
-    )
+    width = F.when(F.col("_class") == 0, F.lit(BIN)).otherwise(F.lit(BIN * COARSE))
+    keep = (F.col("_bin") == F.floor(F.greatest("start", "r_start") / width)) & (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
     if how == "within":
         keep &= (F.col("r_start") <= F.col("_s")) & (F.col("_e") <= F.col("r_end"))
     elif how == "contains":
         keep &= (F.col("_s") <= F.col("r_start")) & (F.col("r_end") <= F.col("_e"))
-    out = joined.where(keep).withColumns({"start": F.col("_s"), "end": F.col("_e")})
+    out = a.join(b, ["chrom", "_class", "_bin"]).where(keep).withColumns({"start": F.col("_s"), "end": F.col("_e")})
     return out.select(*left.columns, *(f"r_{c}" for c in right.columns if c != "chrom"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, gap: int = 0, how: str = "overlap") -> DataFrame:
-    """Left rows that overlap some right row (a semi join on the left's unique key)."""
-    found = interval_join(left, right.select("chrom", "start", "end"), how, gap).select(key).distinct()
-    return left.join(found, key, "left_semi")
+def with_flag(left: DataFrame, right: DataFrame, name: str, gap: int = 0, how: str = "overlap") -> DataFrame:
+    """The left rows with a flag: whether some right row overlaps (or contains, or lies within) them. No pairs are made.
+
+    A sweep answers it: of the right rows that start at or before a left row's end (or start), the largest end must reach
+    its start (or end); for "contains", of those that start at or after its start the least end must not pass its end.
+    """
+    names = left.columns
+    t = right.select("chrom", F.col("start").cast("long").alias("_at"), F.lit(1 if how == "contains" else 0).alias("_q"), F.col("end").alias("_far"))
+    at = {"overlap": F.col("end") + gap, "within": F.col("start"), "contains": F.col("start")}[how]
+    q = left.select("chrom", at.cast("long").alias("_at"), F.lit(0 if how == "contains" else 1).alias("_q"), F.struct(*names).alias("_row"))
+    rows = t.unionByName(q, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_at") / CHUNK))
+    if how == "contains":
+        rows = rows.withColumns({"_chunk": -F.col("_chunk"), "_at": -F.col("_at"), "_q": -F.col("_q")})
+        rows = carry(rows, ["chrom"], "_chunk", ["_at", "_q"], {"_best": (F.min, F.col("_far"), True)})
+        found = F.col("_best") <= F.col("_row.end")
+    else:
+        rows = carry(rows, ["chrom"], "_chunk", ["_at", "_q"], {"_best": (F.max, F.col("_far"), True)})
+        found = F.col("_best") >= (F.col("_row.start") - gap if how == "overlap" else F.col("_row.end"))
+    return rows.where("_row IS NOT NULL").select(*(F.col(f"_row.{n}").alias(n) for n in names), F.coalesce(found, F.lit(False)).alias(name))
+
+
+def overlapping(left: DataFrame, right: DataFrame, gap: int = 0, how: str = "overlap") -> DataFrame:
+    """Left rows that overlap some right row."""
+    return with_flag(left, right, "_found", gap, how).where("_found").drop("_found")
 
 
-def not_overlapping(left: DataFrame, right: DataFrame, key: str, gap: int = 0) -> DataFrame:
-    found = interval_join(left, right.select("chrom", "start", "end"), "overlap", gap).select(key).distinct()
-    return left.join(found, key, "left_anti")
+def not_overlapping(left: DataFrame, right: DataFrame, gap: int = 0) -> DataFrame:
+    return with_flag(left, right, "_found", gap).where("NOT _found").drop("_found")
 
 
-def overlap_flags(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    found = interval_join(left, right.select("chrom", "start", "end")).select(key).distinct().withColumn("overlaps", F.lit(True))
-    return left.join(found, key, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
+def overlap_flags(left: DataFrame, right: DataFrame) -> DataFrame:
+    return with_flag(left, right, "overlaps")
+
+
+def points_within(windows: DataFrame, points: DataFrame, value: str | None = None) -> DataFrame:
+    """The windows with n, the number of points (chrom, pos) inside, and weight, the sum of ``value``. No pairs are made:
+    running totals up to the end less those before the start; sums are exact decimals, so the difference loses nothing."""
+    v = F.col(value).cast("decimal(28,6)") if value else F.lit(0).cast("decimal(28,6)")
+    p = points.select("chrom", F.col("pos").cast("long").alias("_at"), F.lit(1).alias("_q"), F.lit(1).cast("long").alias("_one"), v.alias("_v"))
+    names = windows.columns
+    ends = F.explode(F.array(*(F.struct(x.cast("long").alias("at"), F.lit(q).alias("q")) for x, q in ((F.col("start"), 0), (F.col("end"), 2)))))
+    w = windows.withColumn("_wid", F.monotonically_increasing_id()).withColumn("_e", ends)
+    w = w.select("chrom", F.col("_e.at").alias("_at"), F.col("_e.q").alias("_q"), F.struct(*names, "_wid").alias("_row"))
+    rows = p.groupBy("chrom", "_at", "_q").agg(F.sum("_one").alias("_one"), F.sum("_v").alias("_v")).unionByName(w, allowMissingColumns=True)
+    rows = rows.withColumn("_chunk", F.floor(F.col("_at") / CHUNK))
+    zero = F.lit(0).cast("decimal(28,6)")
+    rows = carry(rows, ["chrom"], "_chunk", ["_at", "_q"], {"_n": (F.sum, F.coalesce("_one", F.lit(0)), True), "_w": (F.sum, F.coalesce("_v", zero), True)}).where("_row IS NOT NULL")
+    sign = F.when(F.col("_q") == 2, 1).otherwise(-1)
+    out = rows.groupBy("_row").agg(F.sum(sign * F.col("_n")).alias("n"), F.sum(sign * F.col("_w")).cast("double").alias("weight"))
+    return out.select(*(F.col(f"_row.{c}").alias(c) for c in names), "n", *(["weight"] if value else []))
 
 
 def overlap_width() -> Column:
@@ -81,9 +115,12 @@ def overlap_width() -> Column:
 
 
 def carry(df: DataFrame, by: list[str], chunk: str, order: list, columns: dict[str, tuple[Callable, Column, bool]]) -> DataFrame:
-    """Running aggregates in order within ``by``: name -> (aggregate, value, whether the row itself counts)."""
+    """Running aggregates in order within ``by``: name -> (aggregate, value, whether the row itself counts).
+
+    Rows are shuffled once: the chunks' totals and the running values in chunks are made from the same exchange.
+    """
     local = Window.partitionBy(*by, chunk).orderBy(*order)
-    rows = df.withColumns({f"_v_{n}": v for n, (_, v, _) in columns.items()})
+    rows = df.withColumns({f"_v_{n}": v for n, (_, v, _) in columns.items()}).repartition(*by, chunk)
     totals = rows.groupBy(*by, chunk).agg(*(f(f"_v_{n}").alias(f"_t_{n}") for n, (f, _, _) in columns.items()))
     before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, chunk, *(f(f"_t_{n}").over(before).alias(f"_c_{n}") for n, (f, _, _) in columns.items()))
@@ -130,16 +167,50 @@ def depth(df: DataFrame) -> DataFrame:
     return carry(steps, ["chrom"], "_chunk", ["pos"], {"depth": (F.sum, F.col("d"), True)}).select("chrom", "pos", "depth")
 
 
+def following(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Adds the next row's value of a column that never falls in the order; the first of ``order`` is a position."""
+    back = df.withColumns({"_back": -F.floor(F.col(order[0]) / CHUNK), **{f"_neg{i}": -F.col(c) for i, c in enumerate(order)}})
+    out = carry(back, by, "_back", [f"_neg{i}" for i in range(len(order))], {n: (F.min, F.col(c), False) for n, c in columns.items()})
+    return out.drop("_back", *(f"_neg{i}" for i in range(len(order))))
+
+
+def preceding(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Adds the row before's value of a column that never falls in the order; the first of ``order`` is a position."""
+    rows = df.withColumn("_chunk", F.floor(F.col(order[0]) / CHUNK))
+    return carry(rows, by, "_chunk", order, {n: (F.max, F.col(c), False) for n, c in columns.items()}).drop("_chunk")
+
+
 def spans(points: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Change points (by, pos, values) as closed intervals of constant values."""
-    after = F.lead("pos").over(Window.partitionBy(*by).orderBy("pos"))
-    return points.withColumn("_next", after).where("_next IS NOT NULL").select(*by, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *values)
+    rows = following(points, by, ["pos"], {"_next": "pos"})
+    return rows.where("_next IS NOT NULL").select(*by, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *values)
+
+
+def runs(points: DataFrame, keep: Column) -> DataFrame:
+    """Maximal intervals over which change points (chrom, pos, ...) satisfy ``keep``."""
+    rows = points.select("chrom", "pos", keep.alias("_keep"), F.floor(F.col("pos") / CHUNK).alias("_chunk"))
+    rows = carry(rows, ["chrom"], "_chunk", ["pos"], {"_last": (F.max, F.struct("pos", "_keep"), False)})
+    edges = rows.where(F.col("_keep") != F.coalesce("_last._keep", F.lit(False))).select("chrom", "pos", "_keep")
+    return spans(edges, ["chrom"], ["_keep"]).where("_keep").select("chrom", "start", "end")
+
+
+def position_in(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """Number of each row in order within ``by``, from 1; the first of ``order`` is a position."""
+    rows = df.withColumn("_chunk", F.floor(F.col(order[0]) / CHUNK))
+    return carry(rows, by, "_chunk", order, {name: (F.sum, F.lit(1), True)}).drop("_chunk")
+
+
+def tuples(df: DataFrame, order: list[str], key: str, n: int) -> DataFrame:
+    """Each chromosome's runs of n successive rows: key of the first, ids of all."""
+    rows = position_in(df, ["chrom"], order, "_p").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    got = rows.groupBy("chrom", (F.col("_p") - F.col("_k")).alias("_first")).agg(F.sort_array(F.collect_list(F.struct("_k", key))).alias("_t"))
+    ids = F.col(f"_t.{key}")
+    return got.where((F.size("_t") == n) & (F.col("_first") >= 1)).select(F.get(ids, F.lit(0)).alias(key), ids.alias("ids"))
 
 
 def covered(df: DataFrame, least: int = 1) -> DataFrame:
     """Maximal intervals of depth at least ``least``."""
-    high = spans(depth(df), ["chrom"], ["depth"]).where(F.col("depth") >= least)
-    return merge(high, gap=1).select("chrom", "start", "end")
+    return runs(depth(df), F.col("depth") >= least).select("chrom", "start", "end")
 
 
 def algebra(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
@@ -147,10 +218,11 @@ def algebra(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
     tag = lambda d, x, y: depth(d).select("chrom", "pos", F.col("depth").alias(x), F.lit(None).cast("long").alias(y))
     both = tag(a, "da", "db").unionByName(tag(b, "db", "da").select("chrom", "pos", "da", "db"))
     both = both.groupBy("chrom", "pos").agg(F.max("da").alias("da"), F.max("db").alias("db"))
-    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.select("chrom", "pos", *(F.coalesce(F.last(c, True).over(w), F.lit(0)).alias(c) for c in ("da", "db")))
-    at = spans(both, ["chrom"], ["da", "db"]).withColumns({"in_a": F.col("da") > 0, "in_b": F.col("db") > 0})
-    return merge(at.where(keep).select("chrom", "start", "end"), gap=1).select("chrom", "start", "end")
+    last = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(c).alias("v")))
+    both = carry(both.withColumn("_chunk", F.floor(F.col("pos") / CHUNK)), ["chrom"], "_chunk", ["pos"], {"_a": (F.max, last("da"), True), "_b": (F.max, last("db"), True)})
+    level = lambda c: F.coalesce(F.col(f"{c}.v"), F.lit(0)) > 0
+    both = materialize(both.select("chrom", "pos", level("_a").alias("in_a"), level("_b").alias("in_b")), "change-points")
+    return runs(both, keep).select("chrom", "start", "end")
 
 
 def nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import Rounds, materialize
 
 
 def euclid2(a: Column, b: Column) -> Column:
@@ -148,16 +148,16 @@ def least_squares(df: DataFrame, y: str, xs: list[str], intercept: bool = True)
 def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
     """node, distance from a source over edges (a, b, w >= 0), by relaxation until nothing changes."""
     spark = edges.sparkSession
-    best = materialize(spark.createDataFrame([(source, 0.0)], "node long, distance double"), "paths")
-    e = edges.groupBy("a", "b").agg(F.min("w").alias("w"))
-    before = None
-    while True:
-        step = best.join(e, best["node"] == e["a"]).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
-        best = materialize(best.unionByName(step).groupBy("node").agg(F.min("distance").alias("distance")), "paths")
-        now = best.agg(F.count(F.lit(1)), F.sum("distance")).first()
-        if now == before:
-            return best
-        before = now
+    rounds = Rounds(spark, "paths")
+    best = rounds.write(spark.createDataFrame([(source, 0.0, True)], "node long, distance double, fresh boolean"))
+    e = edges.groupBy("a", "b").agg(F.min("w").cast("double").alias("w"))
+    while best.where("fresh").limit(1).count():  # only nodes that the last round changed can change others
+        step = best.where("fresh").join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("_new"))
+        both = best.select("node", "distance", F.lit(None).cast("double").alias("_new")).unionByName(step.select("node", F.lit(None).cast("double").alias("distance"), "_new"))
+        both = both.groupBy("node").agg(F.min("distance").alias("_old"), F.min("_new").alias("_new"))
+        fresh = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
+        best = rounds.write(both.select("node", F.least("_old", "_new").alias("distance"), fresh.alias("fresh")))
+    return best.drop("fresh")
 
 
 def affinity(similarities: DataFrame, preference: float, rounds: int = 15, damping: float = 0.5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import CHUNK, carry
+
 
 def in_range(hits: DataFrame, chrom: int | None = None, start: int | None = None, stop: int | None = None, strand: bool | None = None) -> DataFrame:
     for c, ok in (("chrom", chrom is not None and F.col("chrom") == chrom), ("pos", start is not None and F.col("pos") >= start), ("pos", stop is not None and F.col("pos") <= stop), ("strand", strand is not None and F.col("strand") == strand)):
@@ -91,5 +93,6 @@ def cap(bases_: DataFrame, most: float) -> DataFrame:
 
 def unsorted(hits: DataFrame) -> DataFrame:
     """Chromosomes whose positions fall somewhere in the store's order, with the number of such places."""
-    before = F.lag("pos").over(Window.partitionBy("chrom").orderBy("hit", "pos"))
-    return hits.withColumn("_b", before).where("pos < _b").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    rows = hits.withColumn("_chunk", F.floor(F.col("hit") / CHUNK))
+    rows = carry(rows, ["chrom"], "_chunk", ["hit", "pos"], {"_b": (F.max, F.struct("hit", "pos"), False)})
+    return rows.where("pos < _b.pos").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))

@@ -72,7 +72,7 @@ def histogram_overflow(spark, d):
     SELECT l_orderkey, l_linenumber, round(normalised, 2) AS normalised FROM r JOIN m USING (rk)""")
 def quantile_normalisation(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("s"), F.col("l_extendedprice").alias("v"))
-    return fr.quantile_normalise(rows, "s", "v").select("l_orderkey", "l_linenumber", F.round("normalised", 2).alias("normalised"))
+    return fr.quantile_normalise(rows, "s", "v").select("l_orderkey", "l_linenumber", (F.round(F.col("normalised") * 100) / 100).alias("normalised"))
 
 
 @query("""SELECT o_orderstatus, coalesce(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 0) AS urgent, coalesce(sum(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 0) AS low FROM orders GROUP BY 1""")

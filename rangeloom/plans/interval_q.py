@@ -1,6 +1,5 @@
 """Queries on intervals."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import GENES, HITS, REGIONS, genes, hits, regions
@@ -21,28 +20,27 @@ def interval_overlap_join(spark, d):
 
 @query(f"WITH {REGIONS}, {HITS} SELECT r.id, count(*) AS n, sum(weight) AS weight FROM r JOIN h ON r.chrom = h.chrom AND h.pos BETWEEN r.s AND r.e GROUP BY r.id")
 def interval_point_counts(spark, d):
-    j = iv.interval_join(points(spark, d), regions(spark, d))
-    return j.groupBy(F.col("r_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return iv.points_within(regions(spark, d), points(spark, d), "weight").where("n > 0").select("id", "n", "weight")
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT id FROM r WHERE EXISTS (SELECT 1 FROM g WHERE {OV})")
 def interval_semi(spark, d):
-    return iv.overlapping(regions(spark, d), genes(spark, d), "id").select("id")
+    return iv.overlapping(regions(spark, d), genes(spark, d)).select("id")
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT id FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE {OV})")
 def interval_anti(spark, d):
-    return iv.not_overlapping(regions(spark, d), genes(spark, d), "id").select("id")
+    return iv.not_overlapping(regions(spark, d), genes(spark, d)).select("id")
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT id, EXISTS (SELECT 1 FROM g WHERE {OV}) AS overlaps FROM r")
 def interval_flags(spark, d):
-    return iv.overlap_flags(regions(spark, d), genes(spark, d), "id").select("id", "overlaps")
+    return iv.overlap_flags(regions(spark, d), genes(spark, d)).select("id", "overlaps")
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT id FROM r WHERE EXISTS (SELECT 1 FROM g WHERE r.chrom = g.chrom AND g.s <= r.s AND r.e <= g.e)")
 def interval_contained(spark, d):
-    return iv.overlapping(regions(spark, d), genes(spark, d), "id", how="within").select("id")
+    return iv.overlapping(regions(spark, d), genes(spark, d), how="within").select("id")
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT r.id, sum(greatest(0, least(r.e, g.e) - greatest(r.s, g.s) + 1)) AS width FROM r JOIN g ON {OV} GROUP BY r.id")
@@ -69,11 +67,11 @@ def interval_merge(spark, d):
     return iv.merge(regions(spark, d))
 
 
-@query(f"""WITH {HITS}, m AS (SELECT chrom, pos, hit, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, hit) < 20 THEN 0 ELSE 1 END AS o FROM h WHERE weight > 40),
+@query(f"""WITH {HITS}, m AS (SELECT chrom, pos, hit, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, hit) < 20 THEN 0 ELSE 1 END AS o FROM h),
     i AS (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY pos, hit ROWS UNBOUNDED PRECEDING) AS k FROM m)
     SELECT chrom, min(pos) AS "start", max(pos) AS "end", count(*) AS n FROM i GROUP BY chrom, k HAVING count(*) >= 3""")
 def interval_gap_clusters(spark, d):
-    return iv.clusters(hits(spark, d).where("weight > 40"), 20, 3)
+    return iv.clusters(hits(spark, d), 20, 3)
 
 
 @query(f"""WITH {GENES}, v AS (SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, s AS pos, 1 AS d FROM g UNION ALL SELECT chrom, e + 1, -1 FROM g) GROUP BY 1, 2)
@@ -131,8 +129,7 @@ def window_tumbling(spark, d):
     SELECT w.id, w.a AS w_start, count(h.hit) AS n FROM w LEFT JOIN h ON w.chrom = h.chrom AND h.pos BETWEEN w.a AND w.a + 299 GROUP BY 1, 2""")
 def window_sliding_counts(spark, d):
     w = iv.sliding(genes(spark, d), 300, 100).select("id", "chrom", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
-    got = iv.interval_join(points(spark, d), w).groupBy(F.col("r_id").alias("id"), F.col("r_start").alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return w.join(got, ["id", "start"], "left").select("id", F.col("start").alias("w_start"), F.coalesce("n", F.lit(0)).alias("n"))
+    return iv.points_within(w, points(spark, d)).select("id", F.col("start").alias("w_start"), "n")
 
 
 @query(f"""WITH {REGIONS}, {GENES}, z AS (SELECT id, chrom, greatest(CASE WHEN strand = '+' THEN s - 8000 ELSE e - 2000 END, 0) AS s, CASE WHEN strand = '+' THEN s + 2000 ELSE e + 8000 END AS e FROM g)
@@ -161,9 +158,9 @@ def largest_overlap(spark, d):
     return j.groupBy("id").agg(F.max_by("r_id", F.struct(iv.overlap_width(), -F.col("r_id"))).alias("region"))
 
 
-@query(f"""WITH {REGIONS} SELECT a.id, b.id AS r_id, b.s - a.s AS gap FROM r a JOIN r b ON a.chrom = b.chrom AND a.id <> b.id AND b.s BETWEEN a.s AND a.s + 50 AND a.score > 150000 AND b.score > 150000""")
+@query(f"""WITH {REGIONS} SELECT a.id, b.id AS r_id, b.s - a.s AS gap FROM r a JOIN r b ON a.chrom = b.chrom AND a.id <> b.id AND b.s BETWEEN a.s AND a.s + 50""")
 def windowed_pairs(spark, d):
-    p = regions(spark, d).where("score > 150000").withColumn("end", F.col("start"))
+    p = regions(spark, d).withColumn("end", F.col("start"))
     j = iv.interval_join(p, p, gap=50).where("id <> r_id AND r_start >= start")
     return j.select("id", "r_id", (F.col("r_start") - F.col("start")).alias("gap"))
 
@@ -183,16 +180,14 @@ def offset_profile(spark, d):
 @query(f"""WITH {REGIONS}, w AS (SELECT id, chrom, s, lag(s) OVER q AS a, lead(s) OVER q AS b, score FROM r WINDOW q AS (PARTITION BY chrom ORDER BY s, id))
     SELECT id, s - a AS before, b - s AS behind FROM w WHERE score >= 150000""")
 def threshold_peaks(spark, d):
-    w = Window.partitionBy("chrom").orderBy("start", "id")
-    r = regions(spark, d).withColumns({"a": F.lag("start").over(w), "b": F.lead("start").over(w)})
+    r = iv.following(iv.preceding(regions(spark, d), ["chrom"], ["start", "id"], {"a": "start"}), ["chrom"], ["start", "id"], {"b": "start"})
     return r.where("score >= 150000").select("id", (F.col("start") - F.col("a")).alias("before"), (F.col("b") - F.col("start")).alias("behind"))
 
 
 @query(f"""WITH {REGIONS} SELECT id, list(x ORDER BY o) AS ids FROM (SELECT a.id, unnest([1, 2, 3]) AS o, unnest([a.id, a.n1, a.n2]) AS x FROM
     (SELECT id, lead(id, 1) OVER w AS n1, lead(id, 2) OVER w AS n2 FROM r WINDOW w AS (PARTITION BY chrom ORDER BY s, e, id)) a WHERE n2 IS NOT NULL) GROUP BY id""")
 def sliding_tuples(spark, d):
-    w = Window.partitionBy("chrom").orderBy("start", "end", "id").rowsBetween(0, 2)
-    return regions(spark, d).withColumn("ids", F.collect_list("id").over(w)).where(F.size("ids") == 3).select("id", "ids")
+    return iv.tuples(regions(spark, d), ["start", "end", "id"], "id", 3)
 
 
 @query()
@@ -201,10 +196,10 @@ def fuzzy_distinct(spark, d):
 
 
 @query(f"""WITH {REGIONS} SELECT a.id, b.id AS r_id, least(a.s, b.s) AS s1, greatest(a.s, b.s) - 1 AS e1, least(a.e, b.e) + 1 AS s2, greatest(a.e, b.e) AS e2
-    FROM r a JOIN r b ON a.chrom = b.chrom AND a.id < b.id AND a.s <= b.e AND b.s <= a.e AND a.score > 150000 AND b.score > 150000""")
+    FROM r a JOIN r b ON a.chrom = b.chrom AND a.id < b.id AND a.s <= b.e AND b.s <= a.e""")
 def region_subtraction(spark, d):
     """The two outer fragments of overlapping pairs."""
-    p = regions(spark, d).where("score > 150000")
+    p = regions(spark, d)
     j = iv.interval_join(p, p).where("id < r_id")
     return j.select("id", "r_id", F.least("start", "r_start").alias("s1"), (F.greatest("start", "r_start") - 1).alias("e1"), (F.least("end", "r_end") + 1).alias("s2"), F.greatest("end", "r_end").alias("e2"))
 
@@ -214,8 +209,7 @@ def region_subtraction(spark, d):
 def region_list_overlap(spark, d):
     r = regions(spark, d)
     one, two = r.where("id % 2 = 0"), r.where("id % 2 = 1")
-    got = iv.overlapping(one, two, "id", gap=100).select("id", F.lit(1).alias("m"))
-    k = one.join(got, "id", "left").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("matched"), F.count(F.lit(1)).alias("total"))
+    k = iv.with_flag(one, two, "m", gap=100).agg(F.count_if("m").alias("matched"), F.count(F.lit(1)).alias("total"))
     return k.select("matched", (F.col("total") - F.col("matched")).alias("missed"), F.try_divide("matched", "total").alias("rate"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import PAIRS, hits, pairs, table
+from ..fixtures import PAIRS, pairs, table
 from ..operators import learn
 from .registry import query
 
@@ -15,13 +15,14 @@ def kmeans_embeddings(spark, d):
     return learn.kmeans(e, "embedding", starts)[0].select("vec_id", "cluster")
 
 
-@query("""WITH c AS (SELECT [1.0, 0, 0] AS c, 0 AS k UNION ALL SELECT [0.0, 1, 0], 1 UNION ALL SELECT [0.0, 0, 1], 2),
-    d AS (SELECT vec_id, k, list_sum([(embedding[i] - c[i]) * (embedding[i] - c[i]) for i in [1, 2, 3]]) AS x FROM embeddings, c)
-    SELECT vec_id, k AS cluster FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x, k) = 1""")
+@query("""WITH n AS (SELECT max(len(embedding)) AS n FROM embeddings), c AS (SELECT k, [CASE WHEN i % 3 = k THEN 0.5 ELSE -0.25 END FOR i IN range(n)] AS c FROM n, (SELECT unnest(range(3)) AS k)),
+    d AS (SELECT vec_id, k, list_sum([(embedding[i + 1] - c[i + 1]) * (embedding[i + 1] - c[i + 1]) FOR i IN range(len(embedding))]) AS x FROM embeddings, c)
+    SELECT vec_id, CAST(k AS INT) AS cluster FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x, k) = 1""")
 def kmeans_assignment(spark, d):
-    """Assignment only, on the first three dimensions."""
-    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 3))
-    return learn.kmeans(e, "v", [[1, 0, 0], [0, 1, 0], [0, 0, 1]], rounds=0)[0].select("vec_id", "cluster")
+    """Assignment to given centres, on whole vectors."""
+    e = table(spark, d, "embeddings")
+    dims = e.agg(F.max(F.size("embedding"))).first()[0]
+    return learn.kmeans(e, "embedding", [[0.5 if i % 3 == k else -0.25 for i in range(dims)] for k in range(3)], rounds=0)[0].select("vec_id", "cluster")
 
 
 @query()
@@ -59,14 +60,22 @@ def least_squares_fit(spark, d):
     return spark.createDataFrame([(round(a, 6), round(b, 4), round(o, 6))], "slope double, intercept double, origin double")
 
 
-E = "e AS (SELECT l_suppkey AS a, l_partkey % 500 AS b, min(l_quantity) AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"
+def supply_graph(spark, d):
+    """Suppliers (positive keys) and parts (negative), linked both ways by the least quantity of their order lines."""
+    t = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("w"))
+    there = t.select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey")).alias("b"), "w")
+    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-@query(f"""WITH RECURSIVE {E}, r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS distance, 0 AS k UNION ALL
-    SELECT b, min(distance + w), k + 1 FROM r JOIN e ON r.node = e.a WHERE k < 12 GROUP BY b, k) SELECT node, min(distance) AS distance FROM r GROUP BY node""")
+@query()
 def shortest_path_lengths(spark, d):
-    t = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return learn.shortest_paths(t.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 500).alias("b"), F.col("l_quantity").alias("w")), 1)
+    return learn.shortest_paths(supply_graph(spark, d), 1)
+
+
+@query()
+def sql_reachability(spark, d):
+    """Least number of links from supplier 1 to each supplier and part it reaches."""
+    return learn.shortest_paths(supply_graph(spark, d).withColumn("w", F.lit(1.0)), 1).select(F.col("node").alias("n"), F.col("distance").cast("int").alias("depth"))
 
 
 @query()

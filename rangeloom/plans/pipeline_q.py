@@ -1,6 +1,5 @@
 """Composite analyses: window peak calling, interaction clusters, modules, ranked comparison."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import GENES, HITS, PAIRS, REGIONS, genes, hits, pairs, regions
@@ -70,7 +69,7 @@ def site_modules(spark, d):
     SELECT coalesce(min(i) FILTER (i >= 100 AND c * 1.0 / i <= 0.9) - 1, count(*)) AS prefix FROM k""")
 def ranked_prefix(spark, d):
     """Length of the best-first prefix of which more than nine in ten match (at least the first hundred count)."""
-    flags = iv.overlap_flags(regions(spark, d), genes(spark, d), "id").select("id", "score", F.col("overlaps").cast("int").alias("hit"), (-F.col("score")).alias("_o"))
+    flags = iv.overlap_flags(regions(spark, d), genes(spark, d)).select("id", "score", F.col("overlaps").cast("int").alias("hit"), (-F.col("score")).alias("_o"))
     rows = stats.ranked(flags, ["_o", "id"], "i").withColumn("_part", F.floor(F.col("i") / 65536))
     rows = iv.carry(rows.withColumn("one", F.lit(1)), ["one"], "_part", ["i"], {"c": (F.sum, F.col("hit"), True)})
     first = F.min(F.when((F.col("i") >= 100) & (F.col("c") / F.col("i") <= 0.9), F.col("i")))

@@ -6,13 +6,11 @@ kept in the driver and a restarted batch overwrites its own output.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..tables import materialize
+from ..tables import new_path
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +25,7 @@ def latest(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFram
     """Runs the stream to its present end and returns each key's last row."""
     spark = stream.sparkSession
     schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
-    root = materialize(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0] + "-out-" + uuid.uuid4().hex
+    root = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/batch={number}")
