@@ -8,10 +8,12 @@ table when first used, so compiling takes time and memory linear in the merges a
 
 The automaton accepts exactly one label path for a byte string, the one BPE yields. Encoding a pre-split word follows
 table transitions from position to position: the last label of a prefix is the one label that ends there and has an arc
-from the state of the prefix before it. Decoding emits the labels' bytes.
+from the state of the prefix before it; one array a word holds these states, so time and memory are linear in a word of any
+length and nothing recurses. Decoding emits the labels' bytes.
 
 Defined results: a null text counts as empty and has no tokens; an added token's string in a text is that token; rows
-are treated one by one, so repeated ids, ties and other columns change nothing; an empty table gives an empty result.
+are treated one by one, so repeated ids, ties and other columns change nothing; a word or text of any length is encoded whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import pieces
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts below this code point are split by the standard library's engine, with the pattern's classes written out.
 LATIN = 0x250
-#: Cached words in a worker; the cache starts anew beyond it.
-CACHE_WORDS = 400_000
-#: Words of more bytes go position by position and are not kept, so depth and what a worker keeps are bounded.
+#: What a worker keeps of words met (bytes, by estimate) and of transitions; beyond it both start anew.
+CACHE_BYTES, MOST_ARCS = 96 << 20, 1_000_000
+#: Words of more bytes are encoded anew each time.
 SHORT_WORD = 128
 
 
@@ -71,7 +73,8 @@ class MergeAutomaton:
         self.longest = max(map(len, vocab), default=1)
         self.table: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.prefixes: dict[bytes, int] = {}
+        self.size = {i: len(b) for b, i in vocab.items()}
+        self.cached = 0
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.taken.setdefault((u, v), rank)
@@ -98,42 +101,25 @@ class MergeAutomaton:
         return found
 
     def encode_bytes(self, word: bytes) -> tuple[int, ...]:
+        """A walk over the transitions from position to position, then back along the last labels; linear in the word."""
         if (whole := self.ids.get(word)) is not None and self._reached(whole):
             return (whole,)
-        last = self._lasts(word) if len(word) > SHORT_WORD else None
-        out, end = [], len(word)
-        while end:
-            out.append(last[end] if last else self._last(word[:end]))
-            end -= len(self.label[out[-1]])
-        return tuple(reversed(out))
-
-    def _last(self, prefix: bytes) -> int:
-        """The last label of a short prefix's path; prefixes are shared by many words, so they are kept."""
-        found = self.prefixes.get(prefix)
-        if found is not None:
-            return found
-        ids, end = self.ids, len(prefix)
-        found = ids.get(prefix, -1)
-        if found < 0 or not self._reached(found):
-            for start in range(max(1, end - self.longest), end):
-                found = ids.get(prefix[start:], -1)
-                if found >= 0 and self.arc(self._last(prefix[:start]), found):
-                    break
-        self.prefixes[prefix] = found
-        return found
-
-    def _lasts(self, word: bytes) -> list[int]:
-        """The last label of each prefix's path, position by position: a word of any length takes no recursion."""
-        ids, longest, last = self.ids, self.longest, [-1]
+        ids, longest, arc, sizes = self.ids, self.longest, self.arc, self.size
+        last = [-1]  # of the path to each position, its last label: the state there
         for end in range(1, len(word) + 1):
             found = ids.get(word[:end], -1) if end <= longest else -1
             if found < 0 or not self._reached(found):
                 for start in range(max(1, end - longest), end):
                     found = ids.get(word[start:end], -1)
-                    if found >= 0 and self.arc(last[start], found):
+                    if found >= 0 and arc(last[start], found):
                         break
             last.append(found)
-        return last
+        out, end = [], len(word)
+        while end:
+            out.append(last[end])
+            end -= sizes[out[-1]]
+        out.reverse()
+        return tuple(out)
 
     def _reached(self, label: int) -> bool:
         """Labels that no merge makes and that aren't single bytes have no arc."""
@@ -142,14 +128,15 @@ class MergeAutomaton:
     def encode_word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= CACHE_WORDS:
+            if self.cached >= CACHE_BYTES or len(self.table) >= MOST_ARCS:
                 self.words.clear()
                 self.table.clear()
-                self.prefixes.clear()
+                self.cached = 0
             raw = word.encode("utf-8", "surrogatepass")
             found = self.encode_bytes(raw)
             if len(raw) <= SHORT_WORD:
                 self.words[word] = found
+                self.cached += 150 + len(raw) + 40 * len(found)
         return found
 
 
@@ -216,11 +203,11 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_of(sent.value)
-        for b in batches:
+        for b in pieces(batches):
             ids = [t.encode(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -229,10 +216,10 @@ def decode(tokens: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_of(sent.value)
-        for b in batches:
+        for b in pieces(batches):
             yield pa.record_batch([b.column(0), pa.array([t.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
-    return small_batches(tokens).select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(tokens.dtypes)[id_col]}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(tokens.dtypes)[id_col]}, text string")
 
 
 def report(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +228,7 @@ def report(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_of(sent.value)
-        for b in batches:
+        for b in pieces(batches):
             counts, ids_digests, text_digests = [], [], []
             for text in b.column(1).to_pylist():
                 ids = t.encode(text or "")
@@ -254,4 +241,4 @@ def report(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
             )
 
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -10,7 +10,8 @@ unescaping drops one backslash before any character. A role also has its line en
 
 Results for odd input: a null text or null parts are empty; a null role is an empty role; turns that tie are ordered by
 role, then by body; a null conversation id is a conversation of its own; a part of an unknown kind is formatted as a
-document; an empty table gives an empty result. One output row is one whole conversation, as the format requires: rows
+document; an empty table gives an empty result (the report's: the probe alone); a very long text is formatted whole; other
+columns are ignored. One output row is one whole conversation, as the format requires: rows
 are formatted before the shuffle, and the shuffle moves each once.
 """
 
@@ -122,7 +123,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def probe(spark: SparkSession) -> DataFrame:
     """Conversation -7, whose texts are control strings of another template."""
     text = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = ", ".join(f"(-7L, {i}L, '{role}', '{text}')" for i, role in enumerate(("user", "assistant")))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(conv_id, turn, role, text)")
 
 
 def as_parts(messages: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ the same. The window table is broadcast only if it has at most ``BROADCAST_WINDO
 
 Defined results: a null or empty text has no words and is never hit; an item without words has no window; an item
 shorter than the window is one window of its own length; rows that repeat both id and text give one result row; an
-empty benchmark hits nothing; other columns are ignored.
+empty benchmark hits nothing; a very long text is scanned whole; other columns, of whatever names, pass through the removing
+functions unchanged and are ignored by the report; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free_name
 
 WINDOW = 13
 BITS = 1 << 20
 BROADCAST_WINDOWS = 500_000
 NO_HITS = "cast(array() as array<struct<start:int,len:int,window:string>>)"
+#: Of lower-cased texts what stands between words, of texts as they are a word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -132,14 +135,35 @@ def report(docs: DataFrame, benchmark: DataFrame, per_hit: int = 20) -> DataFram
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with hit words cut out: id, text of the remaining normalised words joined by a space."""
-    spans = scan(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), "spans")
-    rows = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")), "left").withColumn("_words", words_of(F.col(text_col)))
-    free = F.filter("_words", lambda w, i: ~F.exists("spans", lambda s: (s["s"] <= i) & (i < s["e"])))
-    return rows.select(id_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.array_join(free, " ")).alias(text_col))
-
-
-def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated. Ids are matched null-safely; Spark broadcasts the rejected ids only if they are few."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents with their columns, hit passages cut out of the text itself: case, punctuation and spacing of the rest stay.
+
+    A passage goes from its first hit word up to the next word behind it.
+    """
+    spans = scan(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), "spans", F.xxhash64(F.col(id_col)).alias("_of"))
+    spans = spans.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).join(spans, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    text = F.col(f"_row.`{text_col}`")
+    words, gaps = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.split(text, WORD)  # gap i stands before word i
+    hit = lambda i: F.exists("_spans", lambda s: (s["s"] <= i) & (i < s["e"]))
+    inside = lambda i: F.exists("_spans", lambda s: (s["s"] < i) & (i <= s["e"]))
+    part = lambda w, i: F.concat(F.when(inside(i), "").otherwise(F.get(gaps, i)), F.when(hit(i), "").otherwise(w))
+    cut = F.concat(F.array_join(F.transform(words, part), ""), F.element_at(gaps, -1))
+    new = F.when(F.col("_spans").isNull(), text).otherwise(cut)
+    return rows.select(*(new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, per_hit: int = 0, least: int = WINDOW) -> DataFrame:
+    """The documents without benchmark passages, with their columns.
+
+    A document goes if it holds ``least`` hit words in a row, so one whole window, however long the document is, or if it is
+    contaminated as in report(), which also catches items shorter than a window that make up much of it. ``per_hit`` sets
+    the share for the former rule: 20 lets passages of under one word in twenty stay, 0 none. Ids are matched null-safely, so
+    rows that share an id go together; Spark broadcasts the rejected ids only if they are few.
+    """
+    found = scan(docs, benchmark)
+    passage = F.exists("spans", lambda s: s["e"] - s["s"] >= least)
+    flagged = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
+    enough = F.col("n_hit") * per_hit >= F.col("n_words") if per_hit else F.lit(True)
+    name = free_name(docs, "_bad")
+    bad = found.where((passage & enough) | flagged).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, pieces
 
 RUN = 6
 PORTION, SALT = 400, 2000
@@ -214,7 +214,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = dict(pages.dtypes)[id_col]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [blocks(h) for h in b.column(3).to_pylist()]
             roles = pa.array([[r for r, _ in x] for x in found], pa.list_(pa.int32()))
             texts = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
@@ -230,7 +230,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             return pa.record_batch([ids, urls, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
         types = [None]
-        for b in batches:
+        for b in pieces(batches):
             types[0] = b.column(0).type
             for i, u, h, roles, texts in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if rows and (h != host or len(rows) >= PORTION):
@@ -241,7 +241,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield done()
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.col(html_col).alias("_html"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.col(html_col).alias("_html"))
     parsed = rows.mapInArrow(parse, f"_id {kind}, _url string, _host string, roles array<int>, texts array<string>")
     large = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SALT)
     large = large.select(F.col("_host").alias("_large"), F.ceil(F.col("_n") / (SALT // 2)).alias("_salts"))

@@ -30,10 +30,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import Rounds, free_name, materialize, pieces
 
 WORDS, PERCENT = 5, 85
 SLOTS, BITS, CHUNKS, ERRORS = 30, 12, 6, 1
@@ -43,6 +43,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 NEAR = DISTANCE + 4
 BUCKET, FAMILY, WEIGHT = 4000, 400, 1_000_000
 MEMBER_BITS = 1 << 23
+#: A set or node of at least a HOT_GROUPS-th of the rows, and HOT_ROWS of them, goes by broadcast.
+HOT_GROUPS, HOT_ROWS = 5000, 1000
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64) | np.uint64(1)
 SUMMANDS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64)
@@ -94,14 +96,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, n_shingles, digest of the set (null if empty), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sigs = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["_id", "n_shingles", "digest", "sig"])
 
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_shingles long, digest binary, sig binary"
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _codes(sigs: list[bytes]) -> np.ndarray:
@@ -254,22 +256,30 @@ def in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     return rows.withColumn("task", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
 
 
+def _with_least(edges: DataFrame, node: str, value: str, hubs: int) -> DataFrame:
+    """Each edge with m, the least ``value`` of its ``node``. Nodes of at least ``hubs`` edges (so a bounded number) meet their
+    least by broadcast, as a shuffle would send all of a hub's edges to one task."""
+    least = edges.groupBy(node).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("_n"))
+    hot, cold = F.broadcast(least.where(F.col("_n") >= hubs).drop("_n")), least.where(F.col("_n") < hubs).drop("_n")
+    return edges.join(hot, node).unionByName(edges.join(hot, node, "left_anti").join(cold, node))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and the smallest node that its links (a, b) reach, by alternating large and small stars."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    rounds = Rounds(links.sparkSession, "edges")
+    edges = rounds.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+        hubs = max(2 * now[0] // HOT_GROUPS, HOT_ROWS)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both, "u", "v", hubs).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _with_least(large, "u", "v", hubs)
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = rounds.write(small.where("u <> v").distinct())
 
 
 def _member_bits(members: DataFrame) -> np.ndarray:
@@ -289,7 +299,6 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     sets = materialize(
         signed.where("digest IS NOT NULL AND _id IS NOT NULL").groupBy("digest").agg(F.min("_id").alias("member"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "sets"
     )
-    _slim(spark)
     keyed = sets.select("member", "sig").mapInArrow(enumerate_keys, "key long, member long, sig binary")
     found = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link_buckets, "a long, b long, key long, sig binary"), "bucket-links")
     links = found.where("key IS NULL").select("a", "b")
@@ -310,7 +319,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        for b in batches:
+        for b in pieces(batches):
             h = b.column(2).to_numpy()
             keep = np.flatnonzero((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
             if len(keep):
@@ -318,7 +327,6 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
                 sets_ = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
                 yield pa.record_batch([b.column(0), pa.array(sets_, pa.list_(pa.int64()))], ["member", "shingles"])
 
-    small_batches(docs)
     made = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("member"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(MEMBER_BITS)).alias("_bit"))
     made = made.mapInArrow(pick, "member long, shingles array<long>")
     dealt = members.join(totals, "family")
@@ -328,7 +336,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     # every document learns its set's smallest id, then that id's root
     shared = sets.where("copies > 1").select("digest", "member", "copies")
     whole = signed.count()
-    is_hot = F.col("copies") * 200 >= F.lit(max(whole, 200_000))  # at most 200 sets
+    is_hot = F.col("copies") >= F.lit(max(-(-whole // HOT_GROUPS), HOT_ROWS))  # at most HOT_GROUPS sets
     hot = shared.where(is_hot).select("digest", F.col("member").alias("_hot"))
     cold = shared.where(~is_hot).select(F.col("digest").alias("_key"), F.col("member").alias("_cold"))
     rows = signed.select("_id", "n_shingles", "digest").join(F.broadcast(hot), "digest", "left")
@@ -351,12 +359,12 @@ def link_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(links)
 
 
-def _slim(spark: SparkSession) -> None:
-    """Larger Arrow batches for rows of a few bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One document of each group, with its own columns: the one of the smallest id."""
-    gone = annotate(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One document of each group, with its own columns: the one of the smallest id.
+
+    Documents are told apart by id: an id stays if any of its rows is kept, and rows without an id all stay.
+    """
+    seen = annotate(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("kept").alias("kept"))
+    name = free_name(docs, "_gone")
+    gone = seen.where("NOT kept").select(F.col(id_col).alias(name))
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")

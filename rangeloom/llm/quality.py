@@ -8,8 +8,8 @@ intercept), and scoring walks all trees and rows at once, one vectorised step a
 Learnt from at most ``max_labels`` labelled rows (those of the least id hash); every row is scored, from its whole text.
 
 Defined results: a null text counts as empty, whose statistics are zeros; a null label or id teaches nothing; with one
-class labelled the score is that class's smoothed share, with none 0.5; repeated rows are scored alike; other columns are
-ignored.
+class labelled the score is that class's smoothed share, with none 0.5; repeated rows are scored alike; a very long text is measured
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, pieces
 from .toxicity import labelled
 
 MAX_LABELS = 40_000
@@ -136,12 +136,12 @@ def measure(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x = [list(map(float, statistics(t))) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*keep, "_x"])
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _x array<double>"
-    return small_batches(docs).select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:
@@ -154,11 +154,11 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, N_STATISTICS)
             yield pa.record_batch([b.column(0), pa.array(sent.value.score(x))], [id_col, "score"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches
+from .common import fold, materialize, pieces
 
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
@@ -61,14 +61,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             found.clear()
             return pa.record_batch(out, ["word", "cls", "n"])
 
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0).to_pylist():
                 found.update(tokens(text))
             if len(found) > 300_000:
                 yield flush()
         yield flush()
 
-    return small_batches(docs).select("_text").mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    return docs.select("_text").mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -333,12 +333,12 @@ def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOC
         lexicon, p = sent.value
         own = Network({n: v.copy() for n, v in p.items()})
         seen = 0
-        for b in batches:  # a batch is a bounded number of rows
+        for b in pieces(batches):  # a batch is a bounded number of rows
             seen += own.train([lexicon.units(lexicon.codes(tokens(t))) for t in b.column(0).to_pylist()], rate / 4)
         flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float) * seen
         yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), seen), pa.int64())], ["i", "v", "n"])
 
-    got = small_batches(train_docs).select("_text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+    got = train_docs.select("_text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
     i, v, n = (got.column(c).to_numpy() for c in ("i", "v", "n"))
     net.seen = int(n.max()) if len(n) else 0
     if net.seen:
@@ -372,7 +372,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lexicon, p = sent.value
         own, number = Network(p), 0
         task = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in pieces(batches):
             docs_units, n_tokens, n_head, base, extra, tail = [], [], [], [], [], []
             first = number
             for text in b.column(1).to_pylist():
@@ -406,7 +406,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 )
 
     schema = f"_key long, _id {dict(rows.dtypes)['_id']}, held_out boolean, n_tokens long, n_head long, base double, score double, word binary, k long"
-    seen = materialize(small_batches(rows).select("_id", "_text", "_out").mapInArrow(run, schema), "lm-scores")
+    seen = materialize(rows.select("_id", "_text", "_out").mapInArrow(run, schema), "lm-scores")
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     log_mass = F.get(F.array(*(F.lit(float(np.log10(x))) for x in mass)), F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(SPELLED)).cast("int"))
     tails = seen.where("word IS NOT NULL").select("_key", "word", "k").join(counts.select("word", "n"), "word", "left")

@@ -16,9 +16,10 @@ Bounds: contexts are hashed into CONTEXTS and continuations into PAIRS, so the m
 size whatever the text. It is learnt from at most ``max_labels`` labelled rows, half of each class (those of the least id
 hash); a word counts once a document; counting is distributed. Scoring covers every row and whole texts.
 
-Defined results: a null text counts as empty; a text without words gets the share of toxic rows among the calibration
-rows; a null label or id teaches nothing; if only one class is labelled, every score is near that class's share, and 0.5
-if none is; repeated rows are scored alike; other columns are ignored.
+Defined results: a null text counts as empty; a text without words has zero features, so its score is the logistic function of
+the fitted intercept; a null label or id teaches nothing; if the calibration rows hold only one class, every score is near that
+class's share, and 0.5 without any; repeated rows are scored alike; a very long text is scored whole; an empty table gives an
+empty result; other columns, of whatever names, pass through ``reject`` unchanged and are ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, free_name, pieces
 
 ORDER, SHARED = 6, 2
 CONTEXTS, PAIRS = 1 << 21, 1 << 23
@@ -45,6 +46,7 @@ WINDOWS = (1, 4, 16)
 LEVELS = (1.5, 3.0, 5.0)
 N_FEATURES = 2 + len(WINDOWS) + 2 * len(LEVELS)
 MAX_LABELS = 24_000
+MANY = 65535
 #: Edge characters that are no part of a word.
 EDGES = b".,;:!?\"'()[]{}|*%&$#+-"
 
@@ -84,7 +86,7 @@ def flatten(vocabulary: list[bytes]) -> np.ndarray:
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (label, text) to (label, word, n): the documents of the batch that hold each word."""
-    for b in batches:
+    for b in pieces(batches):
         found: tuple[dict, dict] = ({}, {})
         for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for w in set(words(text)):
@@ -100,7 +102,7 @@ class Counts:
     PART, SEEN = 20_000, 1 << 24
 
     def __init__(self):
-        self.raw = np.zeros((2, PAIRS), np.uint16)  # no count exceeds the sample's documents
+        self.raw = np.zeros((2, PAIRS), np.int32)
         self.context = np.zeros(PAIRS, np.int32)
         self.low = np.zeros(PAIRS, bool)
         self.seen = np.zeros(self.SEEN, bool)
@@ -118,11 +120,11 @@ class Counts:
                 first = first[~self.seen[keys]]
                 self.seen[keys] = True
                 kinds, total = np.unique(pair[first], return_counts=True)
-                self.raw[:, kinds] = np.minimum(self.raw[:, kinds] + total, 65535)
+                self.raw[:, kinds] += total.astype(np.int32)
                 self.low[kinds] = True
             else:
                 kinds, which = np.unique(pair, return_inverse=True)
-                self.raw[label, kinds] = np.minimum(self.raw[label, kinds] + np.bincount(which, weight[p]), 65535)
+                self.raw[label, kinds] += np.bincount(which, weight[p]).astype(np.int32)
             self.context[pair] = context
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,12 +145,23 @@ class Model:
     """Both classes' models as arrays of a fixed size, and the differences of words met so far."""
 
     def __init__(self, counts: Counts):
-        self.pair, self.hist, self.follow = counts.finish()
+        raw, self.hist, self.follow = counts.finish()
+        #: Counts as 16 bits; those that don't fit are MANY there, and whole in the short sorted tables (place, count).
+        self.place, self.count = (np.flatnonzero(raw.ravel() >= MANY), raw.ravel()[raw.ravel() >= MANY])
+        self.pair = np.minimum(raw, MANY, out=raw).astype(np.uint16)
         self.known: dict[bytes, float] = {}
 
+    def counted(self, c: int, pair: np.ndarray) -> np.ndarray:
+        """Continuation counts of hashed pairs in a class."""
+        n = self.pair[c][pair].astype(np.float32)
+        many = np.flatnonzero(n == MANY)
+        if len(many):
+            n[many] = self.count[np.searchsorted(self.place, pair[many] + c * PAIRS)]
+        return n
+
     def __getstate__(self) -> dict:
         """Compressed, as most of the tables' entries are zeros or small."""
-        return {n: (zlib.compress(memoryview(x).cast("B"), 1), x.shape, x.dtype.str) for n, x in (("pair", self.pair), ("hist", self.hist), ("follow", self.follow))}
+        return {n: (zlib.compress(x.tobytes() if x.size < 1000 else memoryview(x).cast("B"), 1), x.shape, x.dtype.str) for n, x in vars(self).items() if n != "known"}
 
     def __setstate__(self, state: dict) -> None:
         for n, (raw, shape, kind) in state.items():
@@ -163,7 +176,7 @@ class Model:
             low = DISCOUNT if k <= SHARED else RARE
             for c in (0, 1):
                 h = self.hist[c][context]
-                n = np.maximum(self.pair[c][pair] - np.float32(low), 0)
+                n = np.maximum(self.counted(c, pair) - np.float32(low), 0)
                 p[c][at] = (np.minimum(n, h) + (np.minimum(self.follow[c][context], h) + TRUST) * p[c][at]) / (h + TRUST)
         d = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
         ends = np.cumsum([len(w) + 1 for w in vocabulary])
@@ -226,7 +239,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_labels: int
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labels: int = MAX_LABELS) -> tuple[Broadcast, np.ndarray]:
     """The counted model (folds 1 to 3), as a broadcast, and the weights of its features (fitted on fold 4)."""
-    rows = small_batches(labelled(docs, labels, label_col, max_labels))
+    rows = labelled(docs, labels, label_col, max_labels)
     counted = rows.where("fold <> 4").select("label", "text").mapInArrow(count_batches, "label int, word binary, n long")
     counted = counted.groupBy("label", "word").agg(F.sum("n").alias("n"))
     counts = Counts()
@@ -236,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
     del counts
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x = sent.value.features(b.column(2).to_pylist()).tolist()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["label", "fold", "x"])
 
@@ -261,20 +274,22 @@ def _groups(counted: DataFrame) -> Iterator[tuple[int, list[bytes], np.ndarray]]
                 yield c, [word[i] for i in at], n[at]
 
 
-def score(docs: DataFrame, sent: Broadcast, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (the id by default) and the score of each row."""
+def score(docs: DataFrame, sent: Broadcast, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """The columns in ``keep`` (the id by default) and the score of each row, under a name that ``keep`` doesn't have."""
     keep = keep or [id_col]
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _score double"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{name}` double"
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, w = sent.value, weights
-        for b in batches:
-            z = m.features(b.column(b.num_columns - 1).to_pylist()) @ w[:-1] + w[-1]
+        for b in pieces(batches):
+            z = m.features(b.column(at).to_pylist()) @ w[:-1] + w[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.record_batch([*b.columns[:-1], pa.array(p)], [*keep, "_score"])
+            yield pa.record_batch([*b.columns[: len(keep)], pa.array(p)], [*keep, name])
 
-    return small_batches(docs).select(*keep, F.col(text_col).alias("_scored_text")).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in keep] + ([] if text_col in keep else [F.col(text_col).alias(name)])
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,4 +300,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    return score(docs, *train(docs, labels), keep=docs.columns).where(F.col("_score") < threshold).select(*docs.columns)
+    name = free_name(docs, "_score")
+    return score(docs, *train(docs, labels), keep=docs.columns, name=name).where(F.col(name) < threshold).select(*(f"`{c}`" for c in docs.columns))
