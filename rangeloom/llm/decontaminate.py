@@ -139,15 +139,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A passage goes from its first hit word up to the next word behind it.
     """
-    spans = scan(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), "spans", F.xxhash64(F.col(id_col)).alias("_of"))
+    spans = scan(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), "spans")
     spans = spans.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).join(spans, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")), "left")
     text = F.col(f"_row.`{text_col}`")
     words, gaps = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.split(text, WORD)  # gap i stands before word i
     hit = lambda i: F.exists("_spans", lambda s: (s["s"] <= i) & (i < s["e"]))
     inside = lambda i: F.exists("_spans", lambda s: (s["s"] < i) & (i <= s["e"]))
-    part = lambda w, i: F.concat(F.when(inside(i), "").otherwise(F.get(gaps, i)), F.when(hit(i), "").otherwise(w))
-    cut = F.concat(F.array_join(F.transform(words, part), ""), F.element_at(gaps, -1))
+    part = lambda x, i: F.concat(F.when(inside(i) & x["w"].isNotNull(), "").otherwise(x["g"]), F.when(hit(i), "").otherwise(F.coalesce(x["w"], F.lit(""))))
+    cut = F.array_join(F.transform(F.arrays_zip(words.alias("w"), gaps.alias("g")), part), "")  # the last gap has no word
     new = F.when(F.col("_spans").isNull(), text).otherwise(cut)
     return rows.select(*(new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 

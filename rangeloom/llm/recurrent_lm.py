@@ -6,23 +6,25 @@ hash of their last two bytes. A token's probability is P(class | state) * P(toke
 factor is a softmax over the class's vectors for frequent tokens and the token's share (c + 0.5) / mass of its class for
 the others; an unseen token has c = 0, and each spelled class keeps 0.5 for one such token, so probabilities sum to 1.
 
-The model is trained by truncated backpropagation in numpy: first on the driver on at most ``WARM_DOCS`` documents, then,
-starting from there, once over all training documents, in each partition by itself; the weights are averaged by tokens.
+The model is trained by truncated backpropagation in numpy on every training document: one shard of documents first, then rounds
+of shards whose weights are averaged by tokens. Documents are dealt by a hash of id and text and learnt in its order, so the
+scores don't depend on the partitioning.
 Scoring walks whole documents in windows of ``STEPS`` tokens and carries the state from window to window.
 
 Lookups: the ``HEAD`` most frequent tokens and their counts go to every executor (a fixed number); tokens beyond it, of
 which none is frequent, meet their counts in a shuffle join, so any vocabulary size works and every count is exact.
 
 Defined results: a null text counts as empty, whose only token is the end; without training documents N and V are 0;
-rows are scored one by one, so repeated ids keep a row each; a null id falls into fold crc32('') mod 5 = 0; other columns
-are ignored.
+rows are scored one by one, so repeated ids keep a row each; a null id falls into fold crc32('') mod 5 = 0; a very long text is
+counted, learnt and scored whole, in bounded memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .common import fold, materialize, pieces
 
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
-HIDDEN, STEPS, LANES, BATCH = 24, 32, 64, 512
-WARM_DOCS, WARM_TOKENS = 1500, 600_000
+HIDDEN, STEPS, LANES, SPAN, BATCH = 24, 32, 128, 256, 512
+WARM_TOKENS, SMALL_TOKENS, SHARD_TOKENS, ROUNDS, MOST_SHARDS = 600_000, 2_000_000, 1_000_000, 2, 16_384
 END = b" "
 LN10 = np.log(10)
 
@@ -114,6 +116,26 @@ class Lexicon(dict):
         return np.where(code < 0, OWN - 1 - code, np.where(code < OWN, code, OWN + cls))
 
 
+class Adam:
+    """Steps of adaptive moments, with a short warm-up of the rate."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.i = p, rate, 0
+        self.one, self.two = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+
+    def __call__(self, g: dict[str, np.ndarray], n: int) -> None:
+        self.i += 1
+        rate = self.rate * min(1, self.i / 20) / (1 - 0.9**self.i)
+        scale = np.float32(1 / np.sqrt(1 - 0.99**self.i))
+        for name, v in self.p.items():
+            d, one, two = g[name], self.one[name], self.two[name]
+            d /= n
+            one += np.float32(0.1) * (d - one)
+            d *= d
+            two += np.float32(0.01) * (d - two)
+            v -= np.float32(rate) * one / (np.sqrt(two) * scale + np.float32(1e-6))
+
+
 class Network:
     """A gated recurrent unit over input units, with the factored output; parameters in one dictionary."""
 
@@ -202,55 +224,78 @@ class Network:
             gmb[c] += d.sum(0)
             dh[own[at]] += d @ m[c]
         dh = dh.reshape(hs.shape)
-        back = np.zeros_like(h)
-        da_all = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        before, z, r, gn, n = (np.stack([k[i] for k in kept]) for i in range(5))
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = gn * r * (1 - r)
+        keep = (1 - reset)[:, :, None]
+        back, way = np.zeros_like(h), p["u"].T.copy()
+        dg, da_all = (np.empty((*x.shape, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in reversed(range(len(x))):
-            h0, z, r, gn, n = kept[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            g["u"] += h0.T @ dg
-            back = (d * z + dg @ p["u"].T) * (1 - reset[t])[:, None]
-            da_all[t] = np.concatenate([dz, dr, dn], 1)
-        g["b"] = da_all.reshape(-1, 3 * HIDDEN).sum(0)
-        np.add.at(g["x"], x.reshape(-1), da_all.reshape(-1, 3 * HIDDEN))
+            dn = d * to_n[t]
+            now = dg[t]
+            np.multiply(d, to_z[t], out=now[:, :HIDDEN])
+            np.multiply(dn, to_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=now[:, 2 * HIDDEN :])
+            da_all[t, :, 2 * HIDDEN :] = dn
+            back = now @ way
+            d *= z[t]
+            back += d
+            back *= keep[t]
+        da_all[:, :, : 2 * HIDDEN] = dg[:, :, : 2 * HIDDEN]
+        g["u"] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        rows = da_all.reshape(-1, 3 * HIDDEN)
+        g["b"] = rows.sum(0)
+        order = np.argsort(x.reshape(-1), kind="stable")
+        inputs = x.reshape(-1)[order]
+        first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+        g["x"][inputs[first]] = np.add.reduceat(rows[order], first)
         return g, last, float(-(out * w).sum())
 
-    def train(self, docs: list[np.ndarray], rate: float) -> int:
-        """One pass of truncated backpropagation over documents given as units; returns the tokens seen."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-        size = np.zeros(LANES, int)
-        for d in sorted(docs, key=len, reverse=True):
-            i = int(size.argmin())
-            lanes[i].append(d)
-            size[i] += len(d)
-        steps = int(size.max()) if len(docs) else 0
-        rng = np.random.default_rng(11)
-        x, y = np.zeros((steps, LANES), np.int64), np.zeros((steps, LANES), np.int64)
-        reset, live = np.zeros((steps, LANES), np.float32), np.zeros((steps, LANES), bool)
-        for i, lane in enumerate(lanes):
+    def train(self, docs: Iterable[np.ndarray], rate: float) -> int:
+        """One pass of truncated backpropagation over documents given as units; returns the tokens seen.
+
+        Documents are joined and cut into parts of LANES lanes of SPAN steps, so what is held is bounded whatever their length. A
+        document resets the state; a lane that begins inside one knows the token before.
+        """
+        step = Adam(self.p, rate)
+        seen, size = 0, LANES * SPAN
+        held: list[np.ndarray] = []
+        opens: list[np.ndarray] = []
+        before = INPUTS - 1
+
+        def part(y: np.ndarray, new: np.ndarray) -> None:
+            nonlocal before
+            x = np.concatenate([[before], y[:-1]])
+            x[new] = INPUTS - 1
+            before = y[-1]
+            steps = -(-len(y) // LANES)
+            live = np.arange(steps * LANES) < len(y)
+            shaped = [np.concatenate([v, np.zeros(steps * LANES - len(v), v.dtype)]).reshape(LANES, steps).T for v in (x, y, new)] + [live.reshape(LANES, steps).T]
+            h = np.zeros((LANES, HIDDEN), np.float32)
+            for a in range(0, steps, STEPS):
+                xs, ys, reset, alive = (v[a : a + STEPS] for v in shaped)
+                g, h, _ = self.gradients(xs, ys, h, reset.astype(np.float32), alive)
+                step(g, max(1, alive.sum()))
+
+        waiting = 0
+        for d in docs:
+            seen += len(d)
             at = 0
-            for j in rng.permutation(len(lane)):
-                d = lane[j]
-                y[at : at + len(d), i] = d
-                x[at, i], x[at + 1 : at + len(d), i] = INPUTS - 1, d[:-1]
-                reset[at, i] = 1
-                live[at : at + len(d), i] = True
-                at += len(d)
-        h = np.zeros((LANES, HIDDEN), np.float32)
-        one, two = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
-        for i, a in enumerate(range(0, steps, STEPS)):
-            s = slice(a, a + STEPS)
-            g, h, _ = self.gradients(x[s], y[s], h, reset[s], live[s])
-            n = max(1, live[s].sum())
-            for name, v in self.p.items():
-                d = g[name] / n
-                one[name] += 0.1 * (d - one[name])
-                two[name] += 0.01 * (d * d - two[name])
-                v -= rate * min(1, (i + 1) / 20) * (one[name] / (1 - 0.9 ** (i + 1))) / (np.sqrt(two[name] / (1 - 0.99 ** (i + 1))) + 1e-6)
-        return int(live.sum())
+            while at < len(d):
+                piece = d[at : at + size - waiting]
+                new = np.zeros(len(piece), bool)
+                new[:1] = at == 0
+                held.append(piece.astype(np.int64))
+                opens.append(new)
+                at, waiting = at + len(piece), waiting + len(piece)
+                if waiting == size:
+                    part(np.concatenate(held), np.concatenate(opens))
+                    held, opens, waiting = [], [], 0
+        if waiting:
+            part(np.concatenate(held), np.concatenate(opens))
+        return seen
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Sum of log P over each document's units, whole documents, state carried from window to window."""
@@ -318,34 +363,63 @@ class Network:
         return out
 
 
-def train_network(train_docs: DataFrame, lex: Lexicon, warm_docs: int = WARM_DOCS, rate: float = 4e-3) -> Network:
-    net = Network.fresh(lex)
-    by_hash = F.xxhash64(F.col("_id"))
-    least = train_docs.select(by_hash.alias("h")).orderBy("h").limit(warm_docs).agg(F.max("h")).first()[0]  # hashes only, no texts, meet here
-    warm = train_docs.where(by_hash <= F.lit(least)).select("_text").toArrow().column(0).to_pylist() if least is not None else []
-    units = lambda texts: [lex.units(lex.codes(tokens(t))) for t in texts]
-    warm = units(warm)
-    tokens_there = sum(map(len, warm))
-    net.train(warm * min(100, max(1, WARM_TOKENS // max(1, tokens_there))), rate)  # a small corpus is read several times
-    sent = train_docs.sparkSession.sparkContext.broadcast((lex, net.p))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, p = sent.value
-        own = Network({n: v.copy() for n, v in p.items()})
-        seen = 0
-        for b in pieces(batches):  # a batch is a bounded number of rows
-            seen += own.train([lexicon.units(lexicon.codes(tokens(t))) for t in b.column(0).to_pylist()], rate / 4)
-        flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float) * seen
-        yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), seen), pa.int64())], ["i", "v", "n"])
-
-    got = train_docs.select("_text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+def _average(got: pa.Table, shapes: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+    """Weights (i, v, n) of all shards, averaged by tokens, in the shapes of the given ones; and the tokens."""
     i, v, n = (got.column(c).to_numpy() for c in ("i", "v", "n"))
-    net.seen = int(n.max()) if len(n) else 0
-    if net.seen:
-        flat = np.zeros(len(i))
-        flat[i] = v / n
-        cuts = np.cumsum([x.size for x in net.p.values()])[:-1]
-        net.p = {name: piece.reshape(x.shape).astype(np.float32) for (name, x), piece in zip(net.p.items(), np.split(flat, cuts))}
+    if not len(i) or not n.max():
+        return shapes, 0
+    flat = np.zeros(len(i))
+    flat[i] = v / n
+    cuts = np.cumsum([x.size for x in shapes.values()])[:-1]
+    return {name: piece.reshape(x.shape).astype(np.float32) for (name, x), piece in zip(shapes.items(), np.split(flat, cuts))}, int(n.max())
+
+
+def train_network(train_docs: DataFrame, lex: Lexicon, warm_tokens: int = WARM_TOKENS, shard_tokens: int = SHARD_TOKENS, rate: float = 8e-3) -> Network:
+    """A network trained on every document once, the same however the documents are partitioned.
+
+    A hash of id and text says in which round and shard a document is learnt, and its place there. Round 0 is one shard of about
+    ``warm_tokens`` (a corpus no larger is all in it, and read again up to SMALL_TOKENS); each of ROUNDS rounds then deals its share over
+    shards of about ``shard_tokens``, which start from the weights so far; these become the shards' mean by tokens.
+    """
+    net = Network.fresh(lex)
+    spark, space, total = train_docs.sparkSession, 1 << 30, max(1, lex.total)
+    first = space if total <= warm_tokens else max(1, space * warm_tokens // total)
+    edges = [0, *(first + (space - first) * i // ROUNDS for i in range(ROUNDS + 1))]
+    rows = train_docs.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(space)).alias("place"), "_text")
+    words = spark.sparkContext.broadcast(lex)
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
+        if low == high:
+            continue
+        wanted = total * (high - low) // space
+        shards = 1 if number == 0 else max(1, min(MOST_SHARDS, -(-wanted // shard_tokens)))
+        again = min(100, SMALL_TOKENS // total) if number == 0 and first == space else 1
+        start, speed = spark.sparkContext.broadcast(net.p), rate if number == 0 else rate / 4
+
+        def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = words.value
+            for b in pieces(batches):
+                found = [lexicon.units(lexicon.codes(tokens(t))).astype(np.uint16).tobytes() for t in b.column(2).to_pylist()]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], ["shard", "place", "units"])
+
+        def learn(batches: Iterator[pa.RecordBatch], again: int = again, start=start, speed: float = speed) -> Iterator[pa.RecordBatch]:
+            def documents() -> Iterator[tuple[int, np.ndarray]]:
+                for b in pieces(batches):
+                    yield from zip(b.column(0).to_pylist(), (np.frombuffer(x, np.uint16) for x in b.column(2).to_pylist()))
+
+            for _, group in itertools.groupby(documents(), key=lambda x: x[0]):
+                own = Network({n: v.copy() for n, v in start.value.items()})
+                docs: Iterable[np.ndarray] = (d for _, d in group)
+                if again > 1:  # a small corpus: at most warm_tokens are held
+                    docs = [*docs] * again
+                seen = own.train(docs, speed) // again
+                flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float) * seen
+                yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), seen), pa.int64())], ["i", "v", "n"])
+
+        part = rows.where((F.col("place") >= low) & (F.col("place") < high)).select(F.pmod(F.xxhash64("place"), F.lit(shards)).alias("shard"), "place", "_text")
+        coded = part.mapInArrow(units, "shard long, place long, units binary").repartition(shards, "shard").sortWithinPartitions("shard", "place", "units")
+        got = coded.mapInArrow(learn, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+        net.p, seen = _average(got, net.p)
+        net.seen += seen
     return net
 
 
@@ -372,7 +446,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lexicon, p = sent.value
         own, number = Network(p), 0
         task = TaskContext.get().partitionId() << 36
-        for b in pieces(batches):
+        for b in pieces(batches, 2000):
             docs_units, n_tokens, n_head, base, extra, tail = [], [], [], [], [], []
             first = number
             for text in b.column(1).to_pylist():

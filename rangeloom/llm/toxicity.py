@@ -42,6 +42,8 @@ DISCOUNT, RARE = 0.75, 3.0
 TRUST = 25.0
 #: A word's difference is held between these, so that one long word doesn't outweigh a document.
 LEAST, MOST = -3.0, 6.0
+#: No byte is taken for less likely than this.
+FLOOR = 1e-12
 WINDOWS = (1, 4, 16)
 LEVELS = (1.5, 3.0, 5.0)
 N_FEATURES = 2 + len(WINDOWS) + 2 * len(LEVELS)
@@ -178,7 +180,7 @@ class Model:
                 h = self.hist[c][context]
                 n = np.maximum(self.counted(c, pair) - np.float32(low), 0)
                 p[c][at] = (np.minimum(n, h) + (np.minimum(self.follow[c][context], h) + TRUST) * p[c][at]) / (h + TRUST)
-        d = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
+        d = np.log(np.maximum(p[1], FLOOR)) - np.log(np.maximum(p[0], FLOOR))
         ends = np.cumsum([len(w) + 1 for w in vocabulary])
         return np.clip(np.diff(np.concatenate([[0], np.cumsum(d[1:])[ends - 1]])), LEAST, MOST)
 
