@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces
 
 RUN, TEMPLATE, LEAST_ARTICLES = 6, 20, 5
-PORTION = 16 << 20
+PORTION = 2 << 20
 #: Hosts of more than a portion, and runs of all hosts, that a broadcast may carry; beyond these numbers they are joined.
 BROADCAST_HOSTS, BROADCAST_RUNS = 100_000, 1_000_000
 #: Elements by what they mean for the text.
