@@ -257,9 +257,11 @@ def in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _with_least(edges: DataFrame, node: str, value: str, hubs: int) -> DataFrame:
-    """Each edge with m, the least ``value`` of its ``node``. Nodes of at least ``hubs`` edges (so a bounded number) meet their
-    least by broadcast, as a shuffle would send all of a hub's edges to one task."""
+    """Each edge with m, the least ``value`` of its ``node``. If ``hubs`` is given, nodes of at least so many edges (a bounded
+    number) meet their least by broadcast, as a shuffle would send all of a hub's edges to one task."""
     least = edges.groupBy(node).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("_n"))
+    if not hubs:
+        return edges.join(least.drop("_n"), node)
     hot, cold = F.broadcast(least.where(F.col("_n") >= hubs).drop("_n")), least.where(F.col("_n") < hubs).drop("_n")
     return edges.join(hot, node).unionByName(edges.join(hot, node, "left_anti").join(cold, node))
 
@@ -270,12 +272,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = rounds.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nodes = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+        degree, *now = nodes.agg(F.coalesce(F.max("n"), F.lit(0)), F.sum("n"), F.bit_xor("x")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        hubs = max(2 * now[0] // HOT_GROUPS, HOT_ROWS)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        most = max((now[0] or 0) // HOT_GROUPS, HOT_ROWS)
+        hubs = most if degree >= most else 0
         large = _with_least(both, "u", "v", hubs).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _with_least(large, "u", "v", hubs)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))

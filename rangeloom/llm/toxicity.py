@@ -130,7 +130,8 @@ class Counts:
             self.context[pair] = context
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Continuation counts, and each context's total and discounted weight, by class; a slice at a time."""
+        """Continuation counts, and each context's total and discounted weight, by class; a slice at a time. Ends the counting."""
+        del self.seen
         total, taken = (np.zeros((2, CONTEXTS), np.float32) for _ in range(2))
         for i in range(0, PAIRS, 1 << 20):
             at = slice(i, i + (1 << 20))
@@ -140,6 +141,7 @@ class Counts:
                 context, n = self.context[at][some], self.raw[c, at][some].astype(float)
                 total[c] += np.bincount(context, n, CONTEXTS)
                 taken[c] += np.bincount(context, np.minimum(n, low[some]), CONTEXTS)
+        del self.context, self.low
         return self.raw, total, taken
 
 
@@ -149,7 +151,8 @@ class Model:
     def __init__(self, counts: Counts):
         raw, self.hist, self.follow = counts.finish()
         #: Counts as 16 bits; those that don't fit are MANY there, and whole in the short sorted tables (place, count).
-        self.place, self.count = (np.flatnonzero(raw.ravel() >= MANY), raw.ravel()[raw.ravel() >= MANY])
+        self.place = np.flatnonzero(raw.ravel() >= MANY)
+        self.count = raw.ravel()[self.place]
         self.pair = np.minimum(raw, MANY, out=raw).astype(np.uint16)
         self.known: dict[bytes, float] = {}
 
