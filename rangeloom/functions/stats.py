@@ -133,6 +133,14 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return by.join(F.broadcast(total)).agg(F.try_divide(F.sum(F.col("_p") * (worse + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
+def rank_sum(df: DataFrame, value: str, label: str) -> DataFrame:
+    """The rank-sum statistic u of the rows with the label against the others (ties count half), and both numbers."""
+    by = _cumulated(df, value, label)
+    total = by.agg(F.sum("_n").alias("_tn"))
+    u = F.sum(F.col("_p") * (F.col("_tn") - F.col("_cn") + F.col("_n") / 2))
+    return by.join(F.broadcast(total)).agg(u.alias("u"), F.sum("_p").alias("n1"), F.sum("_n").alias("n2"))
+
+
 def partial_auc(df: DataFrame, score: str, label: str, most: float) -> DataFrame:
     """Area under the curve up to a false positive rate of ``most``, by trapezoids, the last one cut at it."""
     by = roc(df, score, label)
