@@ -146,3 +146,117 @@ def test_shortest_paths_go_to_the_end(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(55)], "a long, b long, w double").coalesce(1)
     got = {r["node"]: r["distance"] for r in learn.shortest_paths(edges, 0).collect()}
     assert got == {i: float(i) for i in range(56)}
+
+
+def test_interval_join_meets_few_candidates(spark):
+    """Short intervals meet in fine bins only: candidates stay within ten times of the pairs."""
+    from pyspark.sql import functions as F
+
+    from rangeloom.fixtures import hits, regions
+
+    d = "/root/testdata/sf0.001"
+    p = hits(spark, d).select("hit", "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    a = intervals._binned(p, 2, 1).select("chrom", "_class", "_bin")
+    b = intervals._binned(regions(spark, d), 1, 2).select("chrom", "_class", "_bin")
+    pairs = intervals.interval_join(p, regions(spark, d)).count()
+    assert 0 < a.join(b, ["chrom", "_class", "_bin"]).count() <= 10 * pairs
+
+
+def test_flags_equal_nested_loop(spark):
+    import random
+
+    r = random.Random(3)
+    some = lambda n: [(i, i % 2, s := r.randrange(400_000), s + r.choice([0, 5, 300, 200_000])) for i in range(n)]
+    a, b = some(60), some(25)
+    cols = "id int, chrom int, start int, end int"
+    for how, gap, test in (("overlap", 0, lambda x, y: y[2] <= x[3] and x[2] <= y[3]), ("overlap", 70, lambda x, y: y[2] <= x[3] + 70 and x[2] - 70 <= y[3]), ("within", 0, lambda x, y: y[2] <= x[2] and x[3] <= y[3]), ("contains", 0, lambda x, y: x[2] <= y[2] and y[3] <= x[3])):
+        got = {(x["id"], x["f"]) for x in intervals.with_flag(spark.createDataFrame(a, cols), spark.createDataFrame(b, cols), "f", gap, how).collect()}
+        assert got == {(x[0], any(x[1] == y[1] and test(x, y) for y in b)) for x in a}, how
+
+
+def test_models_equal_plain_python(spark):
+    import numpy as np
+
+    from rangeloom.operators import learn
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (30, 3)), rng.normal(6, 1, (30, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got, centres = learn.kmeans(df, "v", [[0.0, 0, 0], [5.0, 5, 5]])
+    want = np.array([[0.0, 0, 0], [5.0, 5, 5]])
+    for _ in range(10):
+        near = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+        want = np.stack([x[near == k].mean(0) for k in (0, 1)])
+    assert np.allclose(centres, want) and {r["id"]: r["cluster"] for r in got.collect()} == dict(enumerate(near.tolist()))
+
+    groups = learn.agglomerate(spark.createDataFrame([(1, 1, [0.0]), (1, 2, [1.0]), (1, 3, [9.0]), (2, 4, [0.5]), (1, 5, [9.5])], "g int, k int, v array<double>"), ["g"], "k", "v", 2.0)
+    assert {r["k"]: r["cluster"] for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 5: 3, 4: 4}
+
+    y = np.concatenate([rng.normal(0, 1, 400), rng.normal(10, 2, 600)])
+    m = sorted(learn.mixture(spark.createDataFrame([(1, float(v)) for v in y], "g int, v double"), "g", "v").collect(), key=lambda r: r["mean"])
+    assert np.allclose([r["weight"] for r in m], [0.4, 0.6], atol=0.03) and np.allclose([r["mean"] for r in m], [0, 10], atol=0.4) and np.allclose([r["sd"] for r in m], [1, 2], atol=0.3)
+
+
+def test_affinity_equals_dense_messages(spark):
+    import numpy as np
+
+    from rangeloom.operators import learn
+
+    at = np.array([0.0, 0.4, 0.9, 7.0, 7.3, 15.0])
+    s = -np.abs(at[:, None] - at[None])
+    n, preference, rounds, damping = len(at), -2.0, 15, 0.5
+    rows = [(i, k, float(s[i, k])) for i in range(n) for k in range(n) if i != k]
+    got = {r["node"]: r["exemplar"] for r in learn.affinity(spark.createDataFrame(rows, "i int, k int, s double"), preference, rounds, damping).collect()}
+    np.fill_diagonal(s, preference)
+    r, a = np.zeros((n, n)), np.zeros((n, n))
+    for _ in range(rounds):
+        new = np.array([[s[i, k] - max(a[i, j] + s[i, j] for j in range(n) if j != k) for k in range(n)] for i in range(n)])
+        r = damping * r + (1 - damping) * new
+        new = np.array([[(sum(max(r[j, k], 0) for j in range(n) if j != k) if i == k else min(0, r[k, k] + sum(max(r[j, k], 0) for j in range(n) if j not in (i, k)))) for k in range(n)] for i in range(n)])
+        a = damping * a + (1 - damping) * new
+    assert got == {i: int((r + a)[i].argmax()) for i in range(n)}
+
+
+def test_graph_queries_equal_breadth_first(spark):
+    import heapq
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    links = {}
+    for a, b, w in duckdb.sql(f"select l_suppkey, -l_partkey, min(l_quantity) from '{d}/lineitem.parquet' group by 1, 2").fetchall():
+        links.setdefault(a, []).append((b, w))
+        links.setdefault(b, []).append((a, w))
+    for name, weigh in (("shortest_path_lengths", lambda w: w), ("sql_reachability", lambda w: 1)):
+        best, queue = {}, [(0, 1)]
+        while queue:
+            x, n = heapq.heappop(queue)
+            if n not in best:
+                best[n] = x
+                for m, w in links.get(n, []):
+                    heapq.heappush(queue, (x + weigh(w), m))
+        assert {r[0]: r[1] for r in entry.queries()[name](spark, d).collect()} == best
+
+
+def test_names_and_formats_are_checked(spark):
+    import pytest
+
+    from rangeloom.functions import named
+    from rangeloom.sources import reads
+
+    df = spark.createDataFrame([(1, 0, 9)], "chrom int, start int, end int")
+    assert named.apply("tumbling", df, width="4").count() == 3
+    for bad in (lambda: named.apply("nothing", df), lambda: named.apply("tumbling", df, breadth="4"), lambda: reads.read_reads(spark, "/x", "odd")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_partial_auc(spark):
+    from rangeloom.functions import stats
+
+    df = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (0.6, False), (0.5, False)], "s double, l boolean")
+    assert abs(stats.auc(df, "s", "l").first()[0] - 5 / 6) < 1e-12
+    assert abs(stats.partial_auc(df, "s", "l", 1.0).first()[0] - 5 / 6) < 1e-12
+    assert abs(stats.partial_auc(df, "s", "l", 1 / 3).first()[0] - 1 / 6) < 1e-12
