@@ -36,14 +36,12 @@ def apply(name: str, df: DataFrame, **given: str) -> DataFrame:
     return OPERATORS[name](df, **typed(OPERATORS[name], given))
 
 
-@F.pandas_udf("double")
 def geometric_mean(v: pd.Series) -> float:
     """An aggregate in Arrow batches: exp of the mean logarithm of the positive values."""
     v = v[v > 0]
     return float(np.exp(np.log(v).mean())) if len(v) else float("nan")
 
 
-@F.udtf(returnType="piece int, start bigint, end bigint")
 class Pieces:
     """A table function: a closed interval cut into pieces of at most a width."""
 
@@ -54,5 +52,5 @@ class Pieces:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions available to SQL by name."""
-    spark.udf.register("geometric_mean", geometric_mean)
-    spark.udtf.register("interval_pieces", Pieces)
+    spark.udf.register("geometric_mean", F.pandas_udf(geometric_mean, "double"))
+    spark.udtf.register("interval_pieces", F.udtf(Pieces, returnType="piece int, start bigint, end bigint"))

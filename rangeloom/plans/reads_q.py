@@ -9,8 +9,10 @@ from ..tables import new_path
 from .registry import query
 
 COLUMNS = """'r' || hit AS name, CAST(chrom AS VARCHAR) AS chrom, pos AS "start", pos + length - 1 AS "end", CASE WHEN strand THEN '+' ELSE '-' END AS strand, 1.0::DOUBLE / count(*) OVER (PARTITION BY hit) AS weight"""
-STRAND = F.when(F.col("strand"), "+").otherwise("-")
-FR = F.when(F.col("strand"), "F").otherwise("R")
+
+
+def _strand(plus: str, minus: str):
+    return F.when(F.col("strand"), plus).otherwise(minus)
 
 
 def _lines(spark, d, *fields):
@@ -23,19 +25,19 @@ def _lines(spark, d, *fields):
 
 @query(f"WITH {HITS} SELECT {COLUMNS} FROM h")
 def source_bowtie(spark, d):
-    return reads.read_reads(spark, _lines(spark, d, "name", STRAND, "ref", F.col("pos") - 1, "seq", "seq", F.lit(0)), "bowtie")
+    return reads.read_reads(spark, _lines(spark, d, "name", _strand("+", "-"), "ref", F.col("pos") - 1, "seq", "seq", F.lit(0)), "bowtie")
 
 
 @query(f"WITH {HITS} SELECT {COLUMNS} FROM h")
 def source_eland(spark, d):
     zero = F.lit(0)
-    return reads.read_reads(spark, _lines(spark, d, F.concat(F.lit(">"), F.col("name")), "seq", F.lit("U0"), F.lit(1), zero, zero, F.concat("ref", F.lit(".fa")), "pos", FR), "eland")
+    return reads.read_reads(spark, _lines(spark, d, F.concat(F.lit(">"), F.col("name")), "seq", F.lit("U0"), F.lit(1), zero, zero, F.concat("ref", F.lit(".fa")), "pos", _strand("F", "R")), "eland")
 
 
 @query(f"WITH {HITS} SELECT {COLUMNS} FROM h")
 def source_novo(spark, d):
     ref = F.concat(F.lit(">"), F.col("ref"))
-    return reads.read_reads(spark, _lines(spark, d, F.concat(F.lit("@"), F.col("name")), F.lit("S"), "seq", "seq", F.lit("U"), F.lit(9), F.lit(60), ref, "pos", FR), "novo")
+    return reads.read_reads(spark, _lines(spark, d, F.concat(F.lit("@"), F.col("name")), F.lit("S"), "seq", "seq", F.lit("U"), F.lit(9), F.lit(60), ref, "pos", _strand("F", "R")), "novo")
 
 
 @query(f"WITH {HITS} SELECT {COLUMNS.replace('1.0::DOUBLE / count(*) OVER (PARTITION BY hit)', '0.5::DOUBLE').replace('pos + length - 1', 'pos + length + 1')} FROM h")

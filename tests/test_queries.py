@@ -37,3 +37,12 @@ def test_query(spark, name):
 @pytest.mark.parametrize("name", sorted(set(CORE.QUERIES) - set(CORE.ORACLES)))
 def test_query_runs(spark, name):
     assert CORE.QUERIES[name](spark, SF).columns
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e._core().ORACLES) <= set(e._core().QUERIES)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
