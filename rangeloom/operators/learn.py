@@ -133,6 +133,89 @@ def viterbi(df: DataFrame, by: str, order: list[str], symbol: str, start: list[f
     return df.groupBy(by).applyInPandas(run, f"{kind}, state long")
 
 
+def _forward(x: np.ndarray, s: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities of one symbol sequence and the scales, whose logarithms add up to its log-likelihood."""
+    f, c = np.zeros((len(x), len(s))), np.zeros(len(x))
+    for t in range(len(x)):
+        f[t] = (f[t - 1] @ a if t else s) * e[:, x[t]]
+        c[t] = f[t].sum()
+        f[t] /= c[t]
+    return f, c
+
+
+def _backward(x: np.ndarray, c: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    b = np.ones((len(x), len(a)))
+    for t in range(len(x) - 2, -1, -1):
+        b[t] = a @ (e[:, x[t + 1]] * b[t + 1]) / c[t + 1]
+    return b
+
+
+def sequence_likelihood(df: DataFrame, by: str, order: list[str], symbol: str, start: list[float], step: list[list[float]], emit: list[list[float]]) -> DataFrame:
+    """Log-likelihood of each group's symbols (0, 1, ...) in order under a hidden Markov model: group, n, log_likelihood."""
+    s, a, e = (np.asarray(m, float) for m in (start, step, emit))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        c = _forward(rows.sort_values(order)[symbol].to_numpy(int), s, a, e)[1]
+        return pd.DataFrame({by: rows[by].iloc[:1], "n": [len(c)], "log_likelihood": [float(np.log(c).sum())]})
+
+    return df.select(by, *order, symbol).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, log_likelihood double")
+
+
+def state_posteriors(df: DataFrame, by: str, order: list[str], symbol: str, start: list[float], step: list[list[float]], emit: list[list[float]]) -> DataFrame:
+    """Adds ``posterior``: each state's probability given all of the group's symbols."""
+    s, a, e = (np.asarray(m, float) for m in (start, step, emit))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        x = rows[symbol].to_numpy(int)
+        f, c = _forward(x, s, a, e)
+        return rows.assign(posterior=list(f * _backward(x, c, a, e)))
+
+    return df.groupBy(by).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", posterior array<double>")
+
+
+def baum_welch(df: DataFrame, by: str, order: list[str], symbol: str, start: list[float], step: list[list[float]], emit: list[list[float]], rounds: int = 10) -> tuple[list, list, list, list[float]]:
+    """start, step and emit after so many rounds of expectation maximisation over all groups, and each round's log-likelihood.
+
+    A round is one pass: a group yields its expected counts, which are summed on the executors to one row.
+    """
+    s, a, e = (np.asarray(m, float) for m in (start, step, emit))
+    k, m = e.shape
+    seen = []
+    names = [f"c{i}" for i in range(1 + k + k * k + k * m)]
+
+    def expected(s: np.ndarray, a: np.ndarray, e: np.ndarray):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            x = rows.sort_values(order)[symbol].to_numpy(int)
+            f, c = _forward(x, s, a, e)
+            b = _backward(x, c, a, e)
+            moves = a * (f[:-1].T @ ((e[:, x[1:]].T * b[1:]) / c[1:, None]))
+            shown = np.stack([np.bincount(x, q, m) for q in (f * b).T])
+            return pd.DataFrame([[float(np.log(c).sum()), *(f * b)[0], *moves.ravel(), *shown.ravel()]], columns=names)
+
+        return run
+
+    for _ in range(rounds):
+        got = df.select(by, *order, symbol).groupBy(by).applyInPandas(expected(s, a, e), ", ".join(f"{n} double" for n in names))
+        row = got.agg(*(F.sum(n).alias(n) for n in names)).first()
+        if row[0] is None:
+            break
+        seen.append(row[0])
+        s, a, e = np.array(row[1 : 1 + k]), np.reshape(row[1 + k : 1 + k + k * k], (k, k)), np.reshape(row[1 + k + k * k :], (k, m))
+        s, a, e = s / s.sum(), a / np.maximum(a.sum(1, keepdims=True), 1e-300), e / np.maximum(e.sum(1, keepdims=True), 1e-300)
+    return s.tolist(), a.tolist(), e.tolist(), seen
+
+
+def r_squared(df: DataFrame, y: str, xs: list[str]) -> float:
+    """Share of the variance of y that least squares on xs explains (rows with nulls left out); NaN where y doesn't vary."""
+    coefficients = least_squares(df, y, xs)
+    fit = F.lit(coefficients[0])
+    for c, x in zip(coefficients[1:], xs):
+        fit = fit + c * F.col(x)
+    r = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [y, *xs])).agg(F.sum((F.col(y) - fit) * (F.col(y) - fit)).alias("rest"), (F.var_pop(y) * F.count(F.lit(1))).alias("all")).first()
+    return 1 - r["rest"] / r["all"] if r["all"] else float("nan")
+
+
 def least_squares(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> list[float]:
     """Coefficients (the intercept first) by normal equations: one pass of sums, solved on the driver."""
     terms = ([F.lit(1.0)] if intercept else []) + [F.col(x).cast("double") for x in xs]
@@ -160,6 +243,44 @@ def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
     return best.drop("fresh")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of an undirected graph (a, b). A round takes the neighbours' least label and then that
+    label's own label, so the rounds grow with the logarithm of a chain's length."""
+    rounds = Rounds(edges.sparkSession, "labels")
+    e = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
+    labels = rounds.write(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumn("fresh", F.lit(True)))
+    while labels.where("fresh").limit(1).count():
+        near = e.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        now = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
+        up = labels.select(F.col("node").alias("n2"), F.col("label").alias("up"))
+        now = now.join(up, F.col("low") == F.col("n2")).withColumn("low", F.least("low", "up"))
+        labels = rounds.write(now.select("node", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("fresh")))
+    return labels.select("node", F.col("label").alias("component"))
+
+
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """node, level of a directed graph (a, b): the links of the longest path that ends there; null on a cycle or behind one.
+
+    A round takes the nodes that no remaining link enters; links that leave them are gone in the next.
+    """
+    spark = edges.sparkSession
+    left, done = Rounds(spark, "links"), []
+    nodes = materialize(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
+    rest = left.write(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    open_ = nodes
+    while True:
+        free = materialize(open_.join(rest.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "level")
+        if not free.limit(1).count():
+            break
+        done.append(free.withColumn("level", F.lit(len(done))))
+        open_ = materialize(open_.join(free, "node", "left_anti"), "open")
+        rest = left.write(rest.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
+    out = open_.withColumn("level", F.lit(None).cast("int"))
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
+
+
 def affinity(similarities: DataFrame, preference: float, rounds: int = 15, damping: float = 0.5) -> DataFrame:
     """Affinity propagation over a sparse table (i, k, s): node, exemplar. Messages stay on the table's edges."""
     own = similarities.select(F.col("i")).unionByName(similarities.select(F.col("k").alias("i"))).distinct()

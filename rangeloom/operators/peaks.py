@@ -87,3 +87,18 @@ def mask(conditions: dict[str, Column]) -> list[Column]:
     """Row masks by name, and all of them as one number, the first condition in the lowest bit."""
     bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions.values())]
     return [*(F.coalesce(c, F.lit(False)).alias(n) for n, c in conditions.items()), reduce(lambda a, b: a + b, bits).alias("mask")]
+
+
+def position_errors(reads: DataFrame, cigar: str) -> DataFrame:
+    """pos, reads, mismatches (X), insertions (I) and deletions (D, bases before the read's next one) at each 0-based position of
+    the reads. Equal CIGAR strings are counted first, and their runs are expanded once."""
+    kinds = reads.where(F.col(cigar).isNotNull()).groupBy(F.col(cigar).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.transform(F.regexp_extract_all("_c", F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda p: F.struct(F.regexp_extract(p, "[0-9]+", 0).cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))
+    wide = lambda p: F.when(p["op"].isin("M", "I", "S", "=", "X"), p["len"]).otherwise(0)
+    runs = kinds.select("_n", parts.alias("_p")).select("_n", F.posexplode("_p").alias("_i", "r"), "_p")
+    runs = runs.select("_n", "r.*", F.aggregate(F.slice("_p", F.lit(1), F.col("_i")), F.lit(0), lambda t, p: t + wide(p)).alias("from"))
+    read = runs.where(F.col("op").isin("M", "I", "S", "=", "X") & (F.col("len") > 0))
+    bases = read.select(F.explode(F.sequence(F.col("from").cast("long"), F.col("from") + F.col("len") - 1)).alias("pos"), "op", "_n", F.lit(0).alias("_d"))
+    gone = runs.where("op = 'D'").select(F.col("from").cast("long").alias("pos"), "op", "_n", (F.col("_n") * F.col("len")).alias("_d"))
+    count = lambda *ops: F.sum(F.when(F.col("op").isin(*ops), F.col("_n")).otherwise(0))
+    return bases.unionByName(gone).groupBy("pos").agg(count("M", "I", "S", "=", "X").alias("reads"), count("X").alias("mismatches"), count("I").alias("insertions"), F.sum("_d").cast("long").alias("deletions"))

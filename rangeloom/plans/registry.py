@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import frames_q, interval_q, learn_q, peaks_q, pipeline_q, reads_q, source_q, sql_q, stats_q, store_q, stream_q, string_q  # noqa: F401
+    from . import frames_q, interval_q, learn_q, motif_q, peaks_q, pipeline_q, reads_q, source_q, sql_q, stats_q, store_q, stream_q, string_q  # noqa: F401
 
 
 load()

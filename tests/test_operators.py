@@ -260,3 +260,41 @@ def test_partial_auc(spark):
     assert abs(stats.auc(df, "s", "l").first()[0] - 5 / 6) < 1e-12
     assert abs(stats.partial_auc(df, "s", "l", 1.0).first()[0] - 5 / 6) < 1e-12
     assert abs(stats.partial_auc(df, "s", "l", 1 / 3).first()[0] - 1 / 6) < 1e-12
+
+
+def test_hidden_states_equal_all_paths(spark):
+    import itertools
+
+    import numpy as np
+
+    from rangeloom.operators import learn
+
+    start, step, emit = [0.3, 0.7], [[0.8, 0.2], [0.4, 0.6]], [[0.5, 0.4, 0.1], [0.1, 0.2, 0.7]]
+    symbols = {1: [0, 2, 1, 1, 2], 2: [2], 3: [1, 0, 0]}
+    rows = [(u, i, x) for u, xs in symbols.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "u int, i int, x int")
+    seen = {(r["u"], r["i"]): r["posterior"] for r in learn.state_posteriors(df, "u", ["i"], "x", start, step, emit).collect()}
+    total = {r["u"]: r["log_likelihood"] for r in learn.sequence_likelihood(df, "u", ["i"], "x", start, step, emit).collect()}
+    for u, xs in symbols.items():
+        mass, at = 0.0, np.zeros((len(xs), 2))
+        for path in itertools.product((0, 1), repeat=len(xs)):
+            p = start[path[0]] * emit[path[0]][xs[0]]
+            for i in range(1, len(xs)):
+                p *= step[path[i - 1]][path[i]] * emit[path[i]][xs[i]]
+            mass += p
+            at[range(len(xs)), path] += p
+        assert abs(total[u] - np.log(mass)) < 1e-9
+        assert all(np.allclose(seen[u, i], at[i] / mass) for i in range(len(xs)))
+    s, a, e, likelihoods = learn.baum_welch(df, "u", ["i"], "x", start, step, emit, rounds=4)
+    assert abs(likelihoods[0] - sum(total.values())) < 1e-9 and likelihoods == sorted(likelihoods)
+    assert np.allclose(np.sum(a, 1), 1) and np.allclose(np.sum(e, 1), 1) and abs(sum(s) - 1) < 1e-12
+
+
+def test_cycles_have_no_level(spark):
+    from rangeloom.operators import learn
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4), (5, 6), (2, 2 + 5)], "a long, b long")
+    assert {r[0]: r[1] for r in learn.topological_levels(links).collect()} == {1: 0, 2: 1, 3: 2, 7: 2, 4: None, 5: None, 6: None}
+    assert {r[0]: r[1] for r in learn.connected(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 5: 4, 6: 4}
+    none = links.limit(0)
+    assert not learn.topological_levels(none).count() and not learn.connected(none).count()
