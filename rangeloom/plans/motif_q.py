@@ -25,7 +25,7 @@ PLACES = f"""{SEQUENCES}, w AS (SELECT unnest({WORDS}) AS word), z AS (SELECT id
 
 
 @query(f"""WITH {SEQUENCES}, w AS (SELECT id, seq, unnest(range(0, length(seq) - 3)) AS i FROM q),
-    s AS (SELECT id, i, '+' AS strand, {_sum(MATRIX)} AS x FROM w UNION ALL SELECT id, i, '-', {_sum(_BACK)} FROM w)
+    s AS MATERIALIZED (SELECT id, i, '+' AS strand, {_sum(MATRIX)} AS x FROM w UNION ALL SELECT id, i, '-', {_sum(_BACK)} FROM w)
     SELECT id, CAST(i AS INT) AS "at", strand, CAST(x AS DOUBLE) AS score FROM s WHERE x >= 5""")
 def motif_hits(spark, d):
     return st.matrix_hits(sequences(spark, d), MATRIX, 5.0)
