@@ -109,6 +109,27 @@ def test_forest_spans_every_component():
     assert all(find(a) == find(b) for a, b in zip(*np.nonzero(m)))
 
 
+@pytest.mark.parametrize("few", [near_dup.FEW_LINKS, 0])
+def test_components_on_the_driver_and_by_rounds(spark, few):
+    """A path, a hub, a cycle of large and negative ids and random links; few links take a fixed number of jobs."""
+    draw = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 60)] + [(500, i) for i in range(400, 460)] + [(2**62, -7), (-7, 2**40), (2**40, 2**62), (9000, 9000)]
+    links += [(draw.randrange(1000, 1200), draw.randrange(1000, 1200)) for _ in range(90)]
+    root = {x: x for link in links for x in link}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    got = near_dup.components(frame, few).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["root"] for r in got} == {x: y for x, y in root.items() if x != y} and len(got) == len({x for x, y in root.items() if x != y})
+    assert jobs <= 10 or not few
+    assert near_dup.components(frame.limit(0), few).count() == 0
+
+
+
 def brute_hits(text, items):
     words = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t)) if w]
     w, hit, found = words(text), set(), set()
