@@ -37,6 +37,7 @@ from .common import fold, materialize, pieces
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
 HIDDEN, STEPS, LANES, SPAN, BATCH = 24, 32, 128, 256, 512
+ROWS = 1024  # of class logits at a time when scoring
 WARM_TOKENS, SMALL_TOKENS, SHARD_TOKENS, ROUNDS, MOST_SHARDS = 600_000, 2_000_000, 1_000_000, 2, 16_384
 END = b" "
 LN10 = np.log(10)
@@ -158,96 +159,134 @@ class Network:
             }
         )
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs, with the bias, and the state's weights by gate (3, rows, HIDDEN), so that each gate's numbers lie together;
+        the first two gates' are negated, as their sigmoids want."""
+        sign = np.array([-1, -1, 1], np.float32)[:, None, None]
+        x, u = (np.multiply(v.reshape(-1, 3, HIDDEN).transpose(1, 0, 2), sign, order="C") for v in (self.p["x"] + self.p["b"], self.p["u"]))
+        return x, u
+
     def walk(self, x: np.ndarray, h: np.ndarray, reset: np.ndarray | None = None):
         """States after each of the inputs x (steps, rows), and what the way back needs."""
-        p, hs, kept = self.p, [], []
-        a = p["x"][x] + p["b"]
+        table, u = self.gates()
+        keep = 1 - (np.zeros(x.shape, np.float32) if reset is None else reset)
+        a = np.take(table, x, axis=1)
+        zr, hs, before, gn, n = np.empty((2, *x.shape, HIDDEN), np.float32), *(np.empty((*x.shape, HIDDEN), np.float32) for _ in range(4))
         for t in range(len(x)):
-            if reset is not None:
-                h = h * (1 - reset[t])[:, None]
-            g = h @ p["u"]
-            zr = 1 / (1 + np.exp(-(a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-            z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * gn)
-            kept.append((h, z, r, gn, n))
-            h = n + z * (h - n)
-            hs.append(h)
-        return np.stack(hs), h, kept
+            h = np.multiply(h, keep[t][:, None], out=before[t])
+            g = h @ u
+            both = zr[:, t]
+            np.add(g[:2], a[:2, t], out=both)
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
+            gn[t] = g[2]
+            new = np.multiply(g[2], both[1], out=n[t])
+            new += a[2, t]
+            np.tanh(new, out=new)
+            h = np.subtract(h, new, out=hs[t])
+            h *= both[0]
+            h += new
+        return hs, h, (before, *zr, gn, n)
 
     def outputs(self, h: np.ndarray, unit: np.ndarray):
-        """log P of the output units' class, and of frequent tokens in their class (0 for others)."""
+        """log P of the output units' class, and of frequent tokens in their class (0 for others); frequent tokens' rows come by class."""
         p = self.p
         k = np.where(unit < OWN, unit // GROUP, unit - OWN + OWN // GROUP)
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
+        logits = h @ p["c"]
+        logits += p["cb"]
+        if self._far("c", "cb", 0):
+            logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = np.log(logits[np.arange(len(k)), k] / total)
-        own = np.flatnonzero(unit < OWN)
-        members = self._members(h[own], k[own])
+        logits *= np.reciprocal(logits @ np.ones(CLASSES, np.float32))[:, None]
+        out = np.log(logits[np.arange(len(k)), k])
+        own, edges = self._by_class(unit)
+        states = h[own]
+        members = self._members(states, edges)
+        if self._far("m", "mb", 1):
+            members -= members.max(1, keepdims=True)
+        np.exp(members, out=members)
+        members /= (members @ np.ones(GROUP, np.float32))[:, None]
         out[own] += np.log(members[np.arange(len(own)), unit[own] % GROUP])
-        return out, k, logits / total[:, None], own, members
+        return out, k, logits, own, edges, states, members
 
-    def _members(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Softmax over the members of each row's class, class by class."""
-        out = np.empty((len(h), GROUP), np.float32)
+    def _far(self, weights: str, bias: str, axis: int) -> bool:
+        """Whether logits could leave the range of float32 exponentials; states are within -1 and 1, so that most weights can't."""
+        return bool((np.abs(self.p[weights]).sum(axis) + np.abs(self.p[bias])).max() >= 79)
+
+    @staticmethod
+    def _by_class(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of frequent tokens, sorted by class, and where each class begins."""
+        own = np.flatnonzero(unit < OWN)
+        k = (unit[own] // GROUP).astype(np.uint8)
         order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(OWN // GROUP + 1))
+        return own[order], np.searchsorted(k[order], np.arange(OWN // GROUP + 1))
+
+    def _members(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Logits of the members of each row's class; rows come by class."""
+        out = np.empty((len(h), GROUP), np.float32)
         m, mb = self.p["m"].reshape(-1, GROUP, HIDDEN), self.p["mb"].reshape(-1, GROUP)
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            out[rows] = h[rows] @ m[c].T + mb[c]
-        out -= out.max(1, keepdims=True)
-        np.exp(out, out=out)
-        return out / out.sum(1, keepdims=True)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[c], edges[c + 1])
+            np.matmul(h[at], m[c].T, out=out[at])
+            out[at] += mb[c]
+        return out
 
     def gradients(self, x, y, h, reset, live) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         p = self.p
-        hs, last, kept = self.walk(x, h, reset)
+        hs, last, (before, z, r, gn, n) = self.walk(x, h, reset)
         flat, unit, w = hs.reshape(-1, HIDDEN), y.reshape(-1), live.reshape(-1).astype(np.float32)
-        out, k, probs, own, members = self.outputs(flat, unit)
+        out, k, probs, own, edges, states, members = self.outputs(flat, unit)
         g = {n: np.zeros_like(v) for n, v in p.items()}
         probs[np.arange(len(k)), k] -= 1
-        probs *= w[:, None]
-        g["c"], g["cb"] = flat.T @ probs, probs.sum(0)
+        if not live.all():
+            probs *= w[:, None]
+        ones = np.ones(len(k), np.float32)
+        g["c"], g["cb"] = flat.T @ probs, ones @ probs
         dh = probs @ p["c"].T
         members[np.arange(len(own)), unit[own] % GROUP] -= 1
         members *= w[own, None]
         m = p["m"].reshape(-1, GROUP, HIDDEN)
         gm, gmb = g["m"].reshape(-1, GROUP, HIDDEN), g["mb"].reshape(-1, GROUP)
-        order = np.argsort(k[own], kind="stable")
-        edges = np.searchsorted(k[own][order], np.arange(OWN // GROUP + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            at = order[edges[c] : edges[c + 1]]
+        to_states = np.empty_like(states)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[c], edges[c + 1])
             d = members[at]
-            gm[c] += d.T @ flat[own[at]]
-            gmb[c] += d.sum(0)
-            dh[own[at]] += d @ m[c]
+            np.matmul(d.T, states[at], out=gm[c])
+            d.sum(0, out=gmb[c])
+            np.matmul(d, m[c], out=to_states[at])
+        dh[own] += to_states
         dh = dh.reshape(hs.shape)
-        before, z, r, gn, n = (np.stack([k[i] for k in kept]) for i in range(5))
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = gn * r * (1 - r)
-        keep = (1 - reset)[:, :, None]
-        back, way = np.zeros_like(h), p["u"].T.copy()
-        dg, da_all = (np.empty((*x.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        away = 1 - z
+        to_z = before - n
+        to_z *= z
+        to_z *= away
+        away *= 1 - n * n
+        to_n = away
+        to_r = 1 - r
+        to_r *= r
+        to_r *= gn
+        back, way = np.zeros_like(h), np.ascontiguousarray(p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+        dg, dn_all = np.empty((3, *hs.shape), np.float32), np.empty_like(hs)
+        keep, begins = 1 - reset, reset.any(1)
         for t in reversed(range(len(x))):
-            d = dh[t] + back
-            dn = d * to_n[t]
-            now = dg[t]
-            np.multiply(d, to_z[t], out=now[:, :HIDDEN])
-            np.multiply(dn, to_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn, r[t], out=now[:, 2 * HIDDEN :])
-            da_all[t, :, 2 * HIDDEN :] = dn
-            back = now @ way
+            back += dh[t]
+            d = back
+            dn = np.multiply(d, to_n[t], out=dn_all[t])
+            now = dg[:, t]
+            np.multiply(d, to_z[t], out=now[0])
+            np.multiply(dn, to_r[t], out=now[1])
+            np.multiply(dn, r[t], out=now[2])
             d *= z[t]
-            back += d
-            back *= keep[t]
-        da_all[:, :, : 2 * HIDDEN] = dg[:, :, : 2 * HIDDEN]
-        g["u"] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        rows = da_all.reshape(-1, 3 * HIDDEN)
-        g["b"] = rows.sum(0)
-        order = np.argsort(x.reshape(-1), kind="stable")
+            for part in now @ way:
+                back += part
+            if begins[t]:
+                back *= keep[t][:, None]
+        before = before.reshape(-1, HIDDEN)
+        g["u"] = np.concatenate([before.T @ d.reshape(-1, HIDDEN) for d in dg], 1)
+        rows = np.concatenate([d.reshape(-1, HIDDEN) for d in (dg[0], dg[1], dn_all)], 1)
+        g["b"] = ones @ rows
+        order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
         inputs = x.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
         g["x"][inputs[first]] = np.add.reduceat(rows[order], first)
@@ -301,7 +340,7 @@ class Network:
         """Sum of log P over each document's units, whole documents, state carried from window to window."""
         total = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        inputs = self.p["x"] + self.p["b"]
+        table, u = self.gates()
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
             flat = np.concatenate([docs[j] for j in rows])
@@ -314,52 +353,54 @@ class Network:
                 live = step < length[:k]
                 at = start[:k] + np.minimum(step, length[:k] - 1)
                 x = np.where(step > 0, flat[np.maximum(at - 1, 0)], INPUTS - 1)
-                hs, h = self.run(inputs, x, h[:k])
+                hs, h = self.run(table, u, x, h[:k])
                 live = live.reshape(-1)
                 out = self.log_probabilities(hs.reshape(-1, HIDDEN)[live], flat[at].reshape(-1)[live])
                 total[rows[:k]] += np.bincount(np.flatnonzero(live) % k, out, k)
         return total
 
-    def run(self, inputs: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As walk, for scoring only: inputs hold the bias, and nothing is kept for a way back."""
-        u, hs = self.p["u"], np.empty((*x.shape, HIDDEN), np.float32)
+    def run(self, table: np.ndarray, u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As walk, for scoring only: nothing is kept for a way back."""
+        hs = np.empty((*x.shape, HIDDEN), np.float32)
+        a, g = (np.empty((3, x.shape[1], HIDDEN), np.float32) for _ in range(2))
+        zr, n = g[:2], g[2]
         for t in range(len(x)):
-            a, g = inputs[x[t]], h @ u
-            zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-            np.negative(zr, out=zr)
+            np.take(table, x[t], axis=1, out=a, mode="clip")
+            for gate in range(3):
+                np.matmul(h, u[gate], out=g[gate])
+            zr += a[:2]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            n = g[:, 2 * HIDDEN :]
-            n *= zr[:, HIDDEN:]
-            n += a[:, 2 * HIDDEN :]
+            n *= zr[1]
+            n += a[2]
             np.tanh(n, out=n)
-            h = h - n
-            h *= zr[:, :HIDDEN]
+            h = np.subtract(h, n, out=hs[t])
+            h *= zr[0]
             h += n
-            hs[t] = h
         return hs, h
 
     def log_probabilities(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """As the first of outputs, without what only training needs; logits stay small enough for float32 exponentials."""
         p = self.p
         k = np.where(unit < OWN, unit // GROUP, unit - OWN + OWN // GROUP)
-        logits = h @ p["c"]
-        logits += p["cb"]
-        np.clip(logits, -80, 80, out=logits)
-        out = logits[np.arange(len(k)), k].astype(float)
-        np.exp(logits, out=logits)
-        out -= np.log(logits @ np.ones(CLASSES, np.float32))
-        own = np.flatnonzero(unit < OWN)
-        unit = unit[own]
-        order = np.argsort(unit, kind="stable")
-        own, unit = own[order], unit[order]
-        edges = np.searchsorted(unit, np.arange(0, OWN + 1, GROUP))
-        m, mb = p["m"].reshape(-1, GROUP, HIDDEN), p["mb"].reshape(-1, GROUP)
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = own[edges[c] : edges[c + 1]]
-            z = np.clip(h[rows] @ m[c].T + mb[c], -80, 80)
-            out[rows] += z[np.arange(len(rows)), unit[edges[c] : edges[c + 1]] - c * GROUP] - np.log(np.exp(z).sum(1))
+        far, out, shares = self._far("c", "cb", 0), np.empty(len(k)), np.exp(p["cb"])
+        for i in range(0, len(k), ROWS):  # a part stays in a core's cache
+            part = k[i : i + ROWS]
+            logits = h[i : i + ROWS] @ p["c"]
+            if far:
+                logits += p["cb"]
+                np.clip(logits, -80, 80, out=logits)
+            chosen = logits[np.arange(len(part)), part].astype(float)
+            np.exp(logits, out=logits)
+            out[i : i + ROWS] = chosen - np.log(logits @ np.ones_like(shares)) if far else chosen + p["cb"][part] - np.log(logits @ shares)
+        own, edges = self._by_class(unit)
+        z = self._members(h[own], edges)
+        if self._far("m", "mb", 1):
+            np.clip(z, -80, 80, out=z)
+        chosen = z[np.arange(len(own)), unit[own] % GROUP].astype(float)
+        np.exp(z, out=z)
+        out[own] += chosen - np.log(z @ np.ones(GROUP, np.float32))
         return out
 
 

@@ -390,6 +390,39 @@ def test_network_gradients_and_windows():
     assert math.isclose(float(np.exp(net.outputs(h, every)[0]).sum()), 1, rel_tol=1e-4)
 
 
+def test_network_steps_are_as_plain_numbers_give():
+    """Steps by gate against float64 arithmetic, with resets; scores of weights whose logits leave float32's exponentials."""
+    lex = recurrent_lm.Lexicon([b"a", b"b"], np.array([5.0, 3.0]), 8, 2, np.full(recurrent_lm.SPELLED, 0.5))
+    net, rng = recurrent_lm.Network.fresh(lex), np.random.default_rng(3)
+    n, x = recurrent_lm.HIDDEN, rng.integers(0, recurrent_lm.INPUTS, (40, 9))
+    reset = (rng.random(x.shape) < 0.1).astype(np.float32)
+    p, h, states = {k: v.astype(float) for k, v in net.p.items()}, np.zeros((9, n)), []
+    for t in range(len(x)):
+        h = h * (1 - reset[t])[:, None]
+        a, g = p["x"][x[t]] + p["b"], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(a[:, i : i + n] + g[:, i : i + n]))) for i in (0, n))
+        new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
+        h = new + z * (h - new)
+        states.append(h)
+    table, u = net.gates()
+    assert table.flags.c_contiguous and u.flags.c_contiguous and table.dtype == u.dtype == np.float32
+    assert np.allclose(net.walk(x, np.zeros((9, n), np.float32), reset)[0], states, atol=1e-5)
+    plain = net.run(table, u, x, np.zeros((9, n), np.float32))
+    assert np.allclose(plain[0], net.walk(x, np.zeros((9, n), np.float32))[0], atol=1e-6) and np.array_equal(plain[1], plain[0][-1])
+    unit, at = rng.integers(0, recurrent_lm.OWN + recurrent_lm.SPELLED, 9), np.array(states[-1], np.float32)
+    for scale in (1, 200):
+        net.p["c"] = (p["c"] * scale).astype(np.float32)
+        one, two = net.log_probabilities(at, unit), net.outputs(at, unit)[0]
+        assert np.isfinite(one).all() and (scale > 1 or np.allclose(one, two, atol=1e-5))
+        if scale == 1:
+            by_class = {k: sum(math.exp(v) for v in row @ p["c"] + p["cb"]) for k, row in enumerate(at.astype(float))}
+            spelled = [i for i, v in enumerate(unit) if v >= recurrent_lm.OWN]
+            for i in spelled:
+                k = unit[i] - recurrent_lm.OWN + recurrent_lm.OWN // recurrent_lm.GROUP
+                assert math.isclose(one[i], float(at[i].astype(float) @ p["c"][:, k] + p["cb"][k]) - math.log(by_class[i]), abs_tol=1e-4)
+
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav>menu</nav><div class="cookie-notice">ok</div><article>'
