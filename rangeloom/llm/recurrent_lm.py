@@ -21,13 +21,14 @@ counted, learnt and scored whole, in bounded memory; an empty table gives an emp
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ from .common import fold, materialize, pieces
 OWN, GROUP, SPELLED, HEAD = 1024, 16, 32, 1 << 18
 CLASSES, INPUTS = OWN // GROUP + SPELLED, OWN + SPELLED + 1  # the last input opens a document
 HIDDEN, STEPS, LANES, SPAN, BATCH = 24, 32, 128, 256, 512
-ROWS = 1024  # of class logits at a time when scoring
+ROWS = 1024  # of class logits at a time
+TEXT_BYTES = 1 << 24  # of texts cut into words at once
 WARM_TOKENS, SMALL_TOKENS, SHARD_TOKENS, ROUNDS, MOST_SHARDS = 600_000, 2_000_000, 1_000_000, 2, 16_384
 END = b" "
 LN10 = np.log(10)
@@ -47,29 +49,54 @@ def spelled(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SPELLED
 
 
+def spelled_classes(words: pa.Array) -> np.ndarray:
+    """As spelled, of all words (none empty): the check sum's steps over the last two bytes, or the only one."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    text, steps = np.frombuffer(words.buffers()[2], np.uint8), np.array([zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], np.uint32)
+    state = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    two = np.flatnonzero(np.diff(ends) > 1)
+    state[two] = steps[text[ends[1:][two] - 2] ^ 255] ^ 0xFFFFFF
+    state = steps[(state ^ text[ends[1:] - 1]) & 255] ^ (state >> 8)
+    return ((state ^ 0xFFFFFFFF) % SPELLED).astype(np.int64)
+
+
 def tokens(text: str | None) -> list[bytes]:
     """bytes.lower() and bytes.split() treat exactly A-Z and \\x09-\\x0d, \\x20."""
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """word, cls, n over all rows; each task combines before the shuffle."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts without the ends, and each text's number of them; Arrow's ASCII kernels treat the same bytes as tokens."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = found.flatten().cast(pa.binary()), pc.list_value_length(found).to_numpy()
+    full = pc.not_equal(pc.binary_length(words), 0)  # white space at an edge leaves an empty word
+    if not pc.all(full).as_py():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(full)
+    return words, sizes.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            words = list(found)
-            out = [pa.array(words, pa.binary()), pa.array([spelled(w) for w in words], pa.int32()), pa.array(list(found.values()), pa.int64())]
-            found.clear()
-            return pa.record_batch(out, ["word", "cls", "n"])
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices whose texts have TEXT_BYTES at most, or one row."""
+    for b in batches:
+        sums, at = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + TEXT_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
 
-        for b in pieces(batches):
-            for text in b.column(0).to_pylist():
-                found.update(tokens(text))
-            if len(found) > 300_000:
-                yield flush()
-        yield flush()
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """word, cls, n over all rows; each portion's equal words are counted before Spark adds them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, 0):
+            found = pc.value_counts(split(b.column(0))[0])
+            words = pa.concat_arrays([found.field(0), pa.array([END], pa.binary())])
+            n = np.append(found.field(1).to_numpy(), b.num_rows)
+            yield pa.record_batch([words, pa.array(spelled_classes(words).astype(np.int32)), pa.array(n, pa.int64())], ["word", "cls", "n"])
 
     return docs.select("_text").mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
@@ -88,53 +115,78 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else step >= least)
 
 
-class Lexicon(dict):
-    """Rank of a head token; for others -1 - spelled class. Holds the head's log10 shares."""
+class Lexicon:
+    """A token's code: the rank of a head token; for others -1 - spelled class. Holds the head's log10 shares."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, mass: np.ndarray):
-        super().__init__(zip(words, range(len(words))))
-        self.words, self.counts, self.total, self.distinct, self.mass = words, counts, total, distinct, mass
-        self.cls = np.array([spelled(w) for w in words], np.int64)
-        self.base = np.log10((counts + 0.5) / self.norm)
-        self.share = np.log10((counts + 0.5) / mass[self.cls]) if len(words) else np.zeros(0)
+    def __init__(self, words: list[bytes] | pa.Array, counts: np.ndarray, total: int, distinct: int, mass: np.ndarray):
+        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        self.counts, self.total, self.distinct, self.mass = counts, total, distinct, mass
+        cls, none = spelled_classes(self.words), np.zeros(SPELLED)
+        # by code: the negative ones count from the end
+        self.base = np.concatenate([np.log10((counts + 0.5) / self.norm), none])
+        self.share = np.concatenate([np.log10((counts + 0.5) / mass[cls]), none])
+        self.share[: min(OWN, len(counts))] = 0  # these have vectors
+        rank = np.arange(len(counts))
+        self.unit = np.concatenate([np.where(rank < OWN, rank, OWN + cls), OWN + np.arange(SPELLED)[::-1]])
+        end = pc.index(self.words, pa.scalar(END, pa.binary())).as_py()
+        self.end = end if end >= 0 else -1 - spelled(END)
 
     @property
     def norm(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - spelled(word)
-
     def __reduce__(self):
         return Lexicon, (self.words, self.counts, self.total, self.distinct, self.mass)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Codes of all tokens, text after text, each with its end; the texts' numbers of tokens; texts and tokens beyond the head."""
+        words, sizes = split(texts)
+        rank = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        far = np.flatnonzero(rank < 0)
+        beyond = words.take(pa.array(far))
+        rank[far] = -1 - spelled_classes(beyond)
+        ends = np.cumsum(sizes)
+        rows = np.searchsorted(ends, far, "right")
+        if self.end < 0:
+            rows, beyond = np.append(rows, np.arange(len(sizes))), pa.concat_arrays([beyond, pa.array([END] * len(sizes), pa.binary())])
+        return np.insert(rank, ends, self.end), sizes + 1, rows, beyond
 
     def units(self, code: np.ndarray) -> np.ndarray:
         """Input and output unit: a frequent token's rank, or OWN + spelled class."""
-        cls = self.cls[np.maximum(code, 0)] if len(self.cls) else 0
-        return np.where(code < 0, OWN - 1 - code, np.where(code < OWN, code, OWN + cls))
+        return self.unit[code]
 
 
 class Adam:
     """Steps of adaptive moments, with a short warm-up of the rate."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.i = p, rate, 0
-        self.one, self.two = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+        self.rate, self.i = rate, 0
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        self.one, self.two, self.room = (np.zeros_like(self.flat) for _ in range(3))
+        at = 0
+        for name, v in p.items():  # the parameters become views of one vector
+            p[name] = self.flat[at : at + v.size].reshape(v.shape)
+            at += v.size
 
     def __call__(self, g: dict[str, np.ndarray], n: int) -> None:
         self.i += 1
         rate = self.rate * min(1, self.i / 20) / (1 - 0.9**self.i)
         scale = np.float32(1 / np.sqrt(1 - 0.99**self.i))
-        for name, v in self.p.items():
-            d, one, two = g[name], self.one[name], self.two[name]
-            d /= n
-            one += np.float32(0.1) * (d - one)
-            d *= d
-            two += np.float32(0.01) * (d - two)
-            v -= np.float32(rate) * one / (np.sqrt(two) * scale + np.float32(1e-6))
+        d, one, two, room = np.concatenate([v.ravel() for v in g.values()]), self.one, self.two, self.room
+        d /= n
+        np.subtract(d, one, out=room)
+        room *= np.float32(0.1)
+        one += room
+        d *= d
+        d -= two
+        d *= np.float32(0.01)
+        two += d
+        np.sqrt(two, out=room)
+        room *= scale
+        room += np.float32(1e-6)
+        np.multiply(one, np.float32(rate), out=d)
+        d /= room
+        self.flat -= d
 
 
 class Network:
@@ -169,25 +221,29 @@ class Network:
     def walk(self, x: np.ndarray, h: np.ndarray, reset: np.ndarray | None = None):
         """States after each of the inputs x (steps, rows), and what the way back needs."""
         table, u = self.gates()
-        keep = 1 - (np.zeros(x.shape, np.float32) if reset is None else reset)
+        reset = np.zeros(x.shape, np.float32) if reset is None else reset
+        keep, begins = 1 - reset, reset.any(1)
         a = np.take(table, x, axis=1)
-        zr, hs, before, gn, n = np.empty((2, *x.shape, HIDDEN), np.float32), *(np.empty((*x.shape, HIDDEN), np.float32) for _ in range(4))
+        g, hs, before, n = np.empty((3, *x.shape, HIDDEN), np.float32), *(np.empty((*x.shape, HIDDEN), np.float32) for _ in range(3))
+        before[0] = h
         for t in range(len(x)):
-            h = np.multiply(h, keep[t][:, None], out=before[t])
-            g = h @ u
-            both = zr[:, t]
-            np.add(g[:2], a[:2, t], out=both)
+            if begins[t]:
+                h = h * keep[t][:, None]
+            np.matmul(h, u, out=g[:, t])
+            both = g[:2, t]
+            both += a[:2, t]
             np.exp(both, out=both)
             both += 1
             np.reciprocal(both, out=both)
-            gn[t] = g[2]
-            new = np.multiply(g[2], both[1], out=n[t])
+            new = np.multiply(g[2, t], both[1], out=n[t])
             new += a[2, t]
             np.tanh(new, out=new)
             h = np.subtract(h, new, out=hs[t])
             h *= both[0]
             h += new
-        return hs, h, (before, *zr, gn, n)
+        before[1:] = hs[:-1]
+        before[begins] *= keep[begins][:, :, None]
+        return hs, h, (before, *g[:2], g[2], n)
 
     def outputs(self, h: np.ndarray, unit: np.ndarray):
         """log P of the output units' class, and of frequent tokens in their class (0 for others); frequent tokens' rows come by class."""
@@ -225,36 +281,39 @@ class Network:
     def _members(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Logits of the members of each row's class; rows come by class."""
         out = np.empty((len(h), GROUP), np.float32)
-        m, mb = self.p["m"].reshape(-1, GROUP, HIDDEN), self.p["mb"].reshape(-1, GROUP)
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            at = slice(edges[c], edges[c + 1])
-            np.matmul(h[at], m[c].T, out=out[at])
-            out[at] += mb[c]
+        m = self.p["m"].reshape(-1, GROUP, HIDDEN)
+        for c in np.flatnonzero(edges[1:] - edges[:-1]).tolist():
+            np.matmul(h[edges[c] : edges[c + 1]], m[c].T, out=out[edges[c] : edges[c + 1]])
+        out += np.repeat(self.p["mb"].reshape(-1, GROUP), edges[1:] - edges[:-1], axis=0)
         return out
 
     def gradients(self, x, y, h, reset, live) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         p = self.p
         hs, last, (before, z, r, gn, n) = self.walk(x, h, reset)
         flat, unit, w = hs.reshape(-1, HIDDEN), y.reshape(-1), live.reshape(-1).astype(np.float32)
-        out, k, probs, own, edges, states, members = self.outputs(flat, unit)
         g = {n: np.zeros_like(v) for n, v in p.items()}
-        probs[np.arange(len(k)), k] -= 1
+        out, dh = self._class_gradients(flat, unit, None if live.all() else w, g)
+        own, edges = self._by_class(unit)
+        states = np.empty((len(own), HIDDEN + 1), np.float32)  # and a one, for the bias
+        states[:, :HIDDEN], states[:, HIDDEN] = flat[own], 1
+        members = self._members(states[:, :HIDDEN], edges)
+        if self._far("m", "mb", 1):
+            members -= members.max(1, keepdims=True)
+        np.exp(members, out=members)
+        members *= np.reciprocal(members @ np.ones(GROUP, np.float32))[:, None]
+        at = np.arange(len(own)), unit[own] % GROUP
+        chosen = members[at]
+        out[own] += np.log(chosen)
+        members[at] = chosen - 1
         if not live.all():
-            probs *= w[:, None]
-        ones = np.ones(len(k), np.float32)
-        g["c"], g["cb"] = flat.T @ probs, ones @ probs
-        dh = probs @ p["c"].T
-        members[np.arange(len(own)), unit[own] % GROUP] -= 1
-        members *= w[own, None]
-        m = p["m"].reshape(-1, GROUP, HIDDEN)
-        gm, gmb = g["m"].reshape(-1, GROUP, HIDDEN), g["mb"].reshape(-1, GROUP)
-        to_states = np.empty_like(states)
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            at = slice(edges[c], edges[c + 1])
-            d = members[at]
-            np.matmul(d.T, states[at], out=gm[c])
-            d.sum(0, out=gmb[c])
-            np.matmul(d, m[c], out=to_states[at])
+            members *= w[own, None]
+        m, gm, to_states = p["m"].reshape(-1, GROUP, HIDDEN), np.zeros((OWN // GROUP, GROUP, HIDDEN + 1), np.float32), np.empty((len(own), HIDDEN), np.float32)
+        for c in np.flatnonzero(edges[1:] - edges[:-1]).tolist():
+            low, high = edges[c], edges[c + 1]
+            d = members[low:high]
+            np.matmul(d.T, states[low:high], out=gm[c])
+            np.matmul(d, m[c], out=to_states[low:high])
+        g["m"], g["mb"] = gm[:, :, :HIDDEN].reshape(OWN, HIDDEN), gm[:, :, HIDDEN].reshape(OWN)
         dh[own] += to_states
         dh = dh.reshape(hs.shape)
         away = 1 - z
@@ -267,7 +326,7 @@ class Network:
         to_r *= r
         to_r *= gn
         back, way = np.zeros_like(h), np.ascontiguousarray(p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
-        dg, dn_all = np.empty((3, *hs.shape), np.float32), np.empty_like(hs)
+        dg, dn_all, parts = np.empty((3, *hs.shape), np.float32), np.empty_like(hs), np.empty((3, *h.shape), np.float32)
         keep, begins = 1 - reset, reset.any(1)
         for t in reversed(range(len(x))):
             back += dh[t]
@@ -278,20 +337,44 @@ class Network:
             np.multiply(dn, to_r[t], out=now[1])
             np.multiply(dn, r[t], out=now[2])
             d *= z[t]
-            for part in now @ way:
+            for part in np.matmul(now, way, out=parts):
                 back += part
             if begins[t]:
                 back *= keep[t][:, None]
         before = before.reshape(-1, HIDDEN)
         g["u"] = np.concatenate([before.T @ d.reshape(-1, HIDDEN) for d in dg], 1)
         rows = np.concatenate([d.reshape(-1, HIDDEN) for d in (dg[0], dg[1], dn_all)], 1)
-        g["b"] = ones @ rows
+        g["b"] = np.ones(len(rows), np.float32) @ rows
         order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
         inputs = x.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
         g["x"][inputs[first]] = np.add.reduceat(rows[order], first)
         return g, last, float(-(out * w).sum())
 
+    def _class_gradients(self, h: np.ndarray, unit: np.ndarray, w: np.ndarray | None, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log P of the units' classes and the loss's slope at the states; adds the class weights' gradients to g. A part of the rows stays in
+        a core's cache; w is 0 for rows that don't count."""
+        p, far, ones = self.p, self._far("c", "cb", 0), np.ones(max(CLASSES, ROWS), np.float32)
+        k = np.where(unit < OWN, unit // GROUP, unit - OWN + OWN // GROUP)
+        out, dh, back = np.empty(len(k), np.float32), np.empty_like(h), np.ascontiguousarray(p["c"].T)
+        for i in range(0, len(k), ROWS):
+            part, at = h[i : i + ROWS], (np.arange(len(k[i : i + ROWS])), k[i : i + ROWS])
+            probs = part @ p["c"]
+            probs += p["cb"]
+            if far:
+                probs -= probs.max(1, keepdims=True)
+            np.exp(probs, out=probs)
+            probs *= np.reciprocal(probs @ ones[:CLASSES])[:, None]
+            chosen = probs[at]
+            np.log(chosen, out=out[i : i + ROWS])
+            probs[at] = chosen - 1
+            if w is not None:
+                probs *= w[i : i + ROWS, None]
+            g["c"] += part.T @ probs
+            g["cb"] += ones[: len(part)] @ probs
+            np.matmul(probs, back, out=dh[i : i + ROWS])
+        return out, dh
+
     def train(self, docs: Iterable[np.ndarray], rate: float) -> int:
         """One pass of truncated backpropagation over documents given as units; returns the tokens seen.
 
@@ -337,34 +420,51 @@ class Network:
         return seen
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Sum of log P over each document's units, whole documents, state carried from window to window."""
-        total = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        """Sum of log P over each document's units, whole documents, state carried from window to window.
+
+        Documents are dealt over at most BATCH lanes, the longest first, each to the lane that is shortest then; one that begins resets its
+        lane's state, so that few steps have few rows.
+        """
+        order = sorted((j for j in range(len(docs)) if len(docs[j])), key=lambda j: -len(docs[j]))
+        lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(order)))]
+        loads = [(0, i) for i in range(len(lanes))]
+        for j in order:
+            load, i = loads[0]
+            lanes[i].append(j)
+            heapq.heapreplace(loads, (load + len(docs[j]), i))
+        if not order:
+            return np.zeros(len(docs))
+        loads.sort(reverse=True)
+        rows = np.array([j for _, i in loads for j in lanes[i]])
+        flat = np.concatenate([docs[j] for j in rows]).astype(np.int64)
+        sizes, length = np.array([len(docs[j]) for j in rows]), np.array([n for n, _ in loads])
+        opens = np.zeros(len(flat), bool)
+        opens[np.cumsum(sizes) - sizes] = True
+        before = np.where(opens, INPUTS - 1, np.roll(flat, 1))
+        start, out = np.cumsum(length) - length, np.empty(len(flat))
         table, u = self.gates()
-        for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            flat = np.concatenate([docs[j] for j in rows])
-            length = np.array([len(docs[j]) for j in rows])
-            start = np.cumsum(length) - length
-            h = np.zeros((len(rows), HIDDEN), np.float32)
-            for a in range(0, int(length.max(initial=0)), STEPS):
-                k = int((length > a).sum())  # longest first, so those still running are the first k
-                step = np.arange(a, min(a + STEPS, int(length[0])))[:, None]
-                live = step < length[:k]
-                at = start[:k] + np.minimum(step, length[:k] - 1)
-                x = np.where(step > 0, flat[np.maximum(at - 1, 0)], INPUTS - 1)
-                hs, h = self.run(table, u, x, h[:k])
-                live = live.reshape(-1)
-                out = self.log_probabilities(hs.reshape(-1, HIDDEN)[live], flat[at].reshape(-1)[live])
-                total[rows[:k]] += np.bincount(np.flatnonzero(live) % k, out, k)
-        return total
-
-    def run(self, table: np.ndarray, u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        for a in range(0, int(length[0]), STEPS):
+            k = int((length > a).sum())  # longest first, so those still running are the first k
+            step = np.arange(a, min(a + STEPS, int(length[0])))[:, None]
+            at = start[:k] + np.minimum(step, length[:k] - 1)
+            hs, h = self.run(table, u, before[at], h[:k], opens[at])
+            hs, at, live = hs.reshape(-1, HIDDEN), at.reshape(-1), (step < length[:k]).reshape(-1)
+            if not live.all():
+                hs, at = hs[live], at[live]
+            out[at] = self.log_probabilities(hs, flat[at])
+        return np.bincount(np.repeat(rows, sizes), out, len(docs))
+
+    def run(self, table: np.ndarray, u: np.ndarray, x: np.ndarray, h: np.ndarray, reset: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """As walk, for scoring only: nothing is kept for a way back."""
+        begins = np.zeros(len(x), bool) if reset is None else reset.any(1)
         hs = np.empty((*x.shape, HIDDEN), np.float32)
         a, g = (np.empty((3, x.shape[1], HIDDEN), np.float32) for _ in range(2))
         zr, n = g[:2], g[2]
         for t in range(len(x)):
+            if begins[t]:
+                h = h.copy()
+                h[reset[t]] = 0
             np.take(table, x[t], axis=1, out=a, mode="clip")
             for gate in range(3):
                 np.matmul(h, u[gate], out=g[gate])
@@ -438,9 +538,11 @@ def train_network(train_docs: DataFrame, lex: Lexicon, warm_tokens: int = WARM_T
 
         def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon = words.value
-            for b in pieces(batches):
-                found = [lexicon.units(lexicon.codes(tokens(t))).astype(np.uint16).tobytes() for t in b.column(2).to_pylist()]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], ["shard", "place", "units"])
+            for b in portions(batches, 2):
+                code, sizes, _, _ = lexicon.codes(b.column(2))
+                ends = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
+                found = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(lexicon.units(code).astype(np.uint16))])
+                yield pa.record_batch([b.column(0), b.column(1), found], ["shard", "place", "units"])
 
         def learn(batches: Iterator[pa.RecordBatch], again: int = again, start=start, speed: float = speed) -> Iterator[pa.RecordBatch]:
             def documents() -> Iterator[tuple[int, np.ndarray]]:
@@ -474,12 +576,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for cls, m in counts.groupBy("cls").agg(F.sum(F.col("n") + 0.5)).collect():  # SPELLED rows
         mass[cls] += m
     head = frequent(counts, HEAD).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    lex = Lexicon(head.column("word").to_pylist(), head.column("n").to_numpy().astype(float), total, distinct, mass)
+    words, n = head.column("word").combine_chunks(), head.column("n").to_numpy().astype(float)
     # frequent tokens have vectors of their own: only the others share their class's mass
-    for w, n in zip(lex.words[:OWN], lex.counts[:OWN]):
-        mass[spelled(w)] -= n + 0.5
+    np.subtract.at(mass, spelled_classes(words[:OWN]), n[:OWN] + 0.5)
     mass = np.maximum(mass, 0.5)
-    lex = Lexicon(lex.words, lex.counts, total, distinct, mass)
+    lex = Lexicon(words, n, total, distinct, mass)
     net = train_network(rows.where("NOT _out"), lex)
     sent = spark.sparkContext.broadcast((lex, net.p))
 
@@ -487,36 +588,25 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lexicon, p = sent.value
         own, number = Network(p), 0
         task = TaskContext.get().partitionId() << 36
-        for b in pieces(batches, 2000):
-            docs_units, n_tokens, n_head, base, extra, tail = [], [], [], [], [], []
-            first = number
-            for text in b.column(1).to_pylist():
-                words = tokens(text)
-                code = lexicon.codes(words)
-                known = code[code >= 0]
-                docs_units.append(lexicon.units(code))
-                n_tokens.append(len(words))
-                n_head.append(len(known))
-                base.append(float(lexicon.base[known].sum()))
-                extra.append(float(lexicon.share[known[known >= OWN]].sum()))
-                if len(known) < len(words):
-                    tail.append((task + number, Counter(words[i] for i in np.flatnonzero(code < 0))))
-                number += 1
-            score = own.score(docs_units) / LN10 + np.array(extra)
-            n = len(n_tokens)
-            keys = pa.array(np.arange(task + first, task + number), pa.int64())
+        for b in portions(batches, 1):
+            code, sizes, texts, words = lexicon.codes(b.column(1))
+            n, starts, first = b.num_rows, np.cumsum(sizes) - sizes, task + number
+            number += n
+            n_head, base, extra = (np.add.reduceat(v, starts) for v in ((code >= 0).astype(np.int64), lexicon.base[code], lexicon.share[code]))
+            score = own.score(np.split(lexicon.units(code), starts[1:])) / LN10 + extra
+            keys = pa.array(np.arange(first, first + n), pa.int64())
             null = lambda k, t: pa.nulls(k, t)
             yield pa.record_batch(
-                [keys, b.column(0), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(base), pa.array(score), null(n, pa.binary()), null(n, pa.int64())],
+                [keys, b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(n_head), pa.array(base), pa.array(score), null(n, pa.binary()), null(n, pa.int64())],
                 NAMES,
             )
-            if tail:
-                k = [key for key, own_words in tail for _ in own_words]
-                w = [x for _, own_words in tail for x in own_words]
-                c = [x for _, own_words in tail for x in own_words.values()]
-                m = len(k)
+            if len(words):
+                tail = words.dictionary_encode()
+                pair, times = np.unique(texts * len(tail.dictionary) + tail.indices.to_numpy(), return_counts=True)
+                text, word = np.divmod(pair, len(tail.dictionary))
+                m = len(pair)
                 yield pa.record_batch(
-                    [pa.array(k, pa.int64()), null(m, b.column(0).type), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), null(m, pa.float64()), null(m, pa.float64()), pa.array(w, pa.binary()), pa.array(c, pa.int64())],
+                    [pa.array(first + text, pa.int64()), null(m, b.column(0).type), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), null(m, pa.float64()), null(m, pa.float64()), tail.dictionary.take(pa.array(word)), pa.array(times, pa.int64())],
                     NAMES,
                 )
 

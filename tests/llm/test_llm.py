@@ -422,6 +422,39 @@ def test_network_steps_are_as_plain_numbers_give():
                 assert math.isclose(one[i], float(at[i].astype(float) @ p["c"][:, k] + p["cb"][k]) - math.log(by_class[i]), abs_tol=1e-4)
 
 
+def test_tokens_of_whole_batches():
+    """Codes of a batch against tokens one by one; texts with white space at the edges, control bytes, other scripts, none."""
+    pa = pytest.importorskip("pyarrow")
+    texts = ["a B  c\x0b\x0c\n", "", " \t ", None, "\x1ca\x85b \xa0 \u00c4A \u2003", "zz zz q", "\r\nB a", "x" * 70_000 + " " + "\U0001f600 b"]
+    words = [recurrent_lm.tokens(t) for t in texts]
+    for head in ([b"a", b" ", b"b", b"zz"], [b"a", b"b"], []):
+        lex = recurrent_lm.Lexicon(head, np.arange(len(head), 0, -1.0), 20, 9, np.full(recurrent_lm.SPELLED, 0.5))
+        for part in (slice(None), slice(2, 7), slice(1, 2)):
+            column = pa.array([None] + texts + ["b"])[1:-1][part]  # a slice of an Arrow column
+            code, sizes, rows, beyond = lex.codes(column)
+            want = [head.index(w) if w in head else -1 - recurrent_lm.spelled(w) for t in words[part] for w in t]
+            assert code.tolist() == want and sizes.tolist() == [len(t) for t in words[part]]
+            assert sorted(zip(rows.tolist(), beyond.to_pylist())) == sorted((i, w) for i, t in enumerate(words[part]) for w in t if w not in head)
+            assert lex.units(code).tolist() == [c if c >= 0 else recurrent_lm.OWN - 1 - c for c in want]
+    batch = pa.record_batch([pa.array(["ab", None, "x" * 50, "c", "d" * 9])], ["t"])
+    cut = [[r["t"] for r in b.to_pylist()] for b in recurrent_lm.portions(iter([batch, batch.slice(0, 0)]), 0)]
+    assert cut == [["ab", None, "x" * 50, "c", "d" * 9]]
+
+
+def test_scoring_keeps_its_rows_full(monkeypatch):
+    """Documents of uneven lengths share lanes: not many more steps than tokens for all lanes, and each score as if alone."""
+    rng = np.random.default_rng(5)
+    lex = recurrent_lm.Lexicon([b"a", b"b"], np.array([5.0, 3.0]), 8, 2, np.full(recurrent_lm.SPELLED, 0.5))
+    net, steps, run = recurrent_lm.Network.fresh(lex), [], recurrent_lm.Network.run
+    monkeypatch.setattr(recurrent_lm, "BATCH", 16)
+    docs = [rng.integers(0, 1050, n) for n in [400, 0] + [5, 130, 1, 64] * 40]
+    alone = [net.score([d])[0] for d in docs]
+    monkeypatch.setattr(recurrent_lm.Network, "run", lambda self, table, u, x, *more: steps.append(len(x)) or run(self, table, u, x, *more))
+    assert np.allclose(net.score(docs), alone, rtol=1e-5)
+    assert sum(steps) <= 1.2 * sum(map(len, docs)) / 16
+    assert net.score([]).shape == (0,) and net.score([docs[1]]).tolist() == [0]
+
+
 
 def test_html(spark):
     page = (
