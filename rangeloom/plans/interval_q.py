@@ -136,7 +136,8 @@ def window_sliding_counts(spark, d):
     SELECT z.id, count(*) AS n FROM z JOIN r ON r.chrom = z.chrom AND r.s <= z.e AND z.s <= r.e GROUP BY z.id""")
 def zone_assignment(spark, d):
     z = iv.zones(genes(spark, d), 8000, 2000)
-    return iv.interval_join(z, regions(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    t = iv.overlap_totals(z, regions(spark, d)).where("n_all > 0")
+    return z.join(t, ["chrom", "start", "end"]).groupBy("id").agg(F.sum("n_all").alias("n"))
 
 
 @query(f"""WITH {REGIONS}, {GENES} SELECT r.id, CAST(count(*) FILTER (g.strand = '+') > 0 AS INT) || '' || CAST(count(*) FILTER (g.strand = '-') > 0 AS INT) AS bits

@@ -311,3 +311,19 @@ def test_linear_classifier_on_its_border(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = {tuple(r) for r in entry.queries()["linear_classifier"](spark, str(tmp_path)).select("event_id", "label").collect()}
     assert got == set(con.sql(entry.oracle_sql()["linear_classifier"]).fetchall())
+
+
+def test_overlap_totals_and_largest_overlap_equal_nested_loop(spark):
+    r = random.Random(8)
+    some = lambda n, m: [(i, r.randrange(2), s := r.randrange(0, 9000, m), s + r.choice([0, 40, 300, 6000]), r.choice("+-")) for i in range(n)]
+    a, b = some(150, 1), some(150, 100)
+    cols = "id long, chrom int, start int, end int, strand string"
+    left, right = spark.createDataFrame(a, cols), spark.createDataFrame(b, cols)
+    width = lambda x, y: min(x[3], y[3]) - max(x[2], y[2]) + 1
+    met = {x[0]: [(width(x, y), -y[0], y[4]) for y in b if x[1] == y[1] and width(x, y) > 0] for x in a}
+    t = left.join(intervals.overlap_totals(left, right, {"all": F.lit(True), "plus": F.col("strand") == "+"}), ["chrom", "start", "end"])
+    got = {x["id"]: (x["n_all"], x["width_all"], x["n_plus"], x["width_plus"]) for x in t.collect()}
+    plus = {k: [m for m in v if m[2] == "+"] for k, v in met.items()}
+    assert got == {k: (len(v), sum(m[0] for m in v), len(plus[k]), sum(m[0] for m in plus[k])) for k, v in met.items()}
+    best = {x["id"]: x["r_id"] for x in intervals.largest_overlap(left, right).collect()}
+    assert best == {k: -max(v)[1] for k, v in met.items() if v}
