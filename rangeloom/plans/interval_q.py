@@ -143,8 +143,10 @@ def zone_assignment(spark, d):
 @query(f"""WITH {REGIONS}, {GENES} SELECT r.id, CAST(count(*) FILTER (g.strand = '+') > 0 AS INT) || '' || CAST(count(*) FILTER (g.strand = '-') > 0 AS INT) AS bits
     FROM r LEFT JOIN g ON {OV} GROUP BY r.id""")
 def annotation_bits(spark, d):
-    got = iv.interval_join(regions(spark, d), genes(spark, d)).groupBy("id").agg(*(F.max((F.col("r_strand") == s).cast("int")).alias(n) for s, n in (("+", "p"), ("-", "m"))))
-    return regions(spark, d).join(got, "id", "left").select("id", F.concat(*(F.coalesce(F.col(c), F.lit(0)).cast("string") for c in "pm")).alias("bits"))
+    r = regions(spark, d)
+    t = iv.overlap_totals(r, genes(spark, d), {n: F.col("strand") == s for s, n in (("+", "p"), ("-", "m"))})
+    bit = lambda n: F.max(F.coalesce((F.col(f"n_{n}") > 0).cast("int"), F.lit(0))).cast("string")
+    return r.join(t, ["chrom", "start", "end"], "left").groupBy("id").agg(F.concat(bit("p"), bit("m")).alias("bits"))
 
 
 @query(f"""WITH {REGIONS}, {GENES} SELECT r.id, g.type, sum(least(r.e, g.e) - greatest(r.s, g.s) + 1) / max(r.e - r.s + 1) AS share FROM r JOIN g ON {OV} GROUP BY 1, 2""")
