@@ -157,8 +157,7 @@ def annotation_share(spark, d):
 
 @query(f"""WITH {REGIONS}, {GENES} SELECT g.id, arg_max(r.id, struct_pack(w := least(r.e, g.e) - greatest(r.s, g.s) + 1, i := -r.id)) AS region FROM g JOIN r ON {OV} GROUP BY g.id""")
 def largest_overlap(spark, d):
-    j = iv.interval_join(genes(spark, d), regions(spark, d))
-    return j.groupBy("id").agg(F.max_by("r_id", F.struct(iv.overlap_width(), -F.col("r_id"))).alias("region"))
+    return iv.largest_overlap(genes(spark, d).select("id", "chrom", "start", "end"), regions(spark, d)).select("id", F.col("r_id").alias("region"))
 
 
 @query(f"""WITH {REGIONS} SELECT a.id, b.id AS r_id, b.s - a.s AS gap FROM r a JOIN r b ON a.chrom = b.chrom AND a.id <> b.id AND b.s BETWEEN a.s AND a.s + 50""")
