@@ -126,10 +126,11 @@ def differential_counts(spark, d):
 def offset_by_length(spark, d):
     """Hits around 5' ends by offset and length."""
     five = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
-    a = genes(spark, d).select("id", "chrom", five.alias("five")).withColumns({"start": F.col("five") - 500, "end": F.col("five") + 499})
-    h = hits(spark, d).select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), "length")
-    j = iv.interval_join(h, a)
-    return j.groupBy(F.floor((F.col("start") - F.col("r_five") + 500) / 50).alias("bin"), "length").agg(F.count(F.lit(1)).alias("n"))
+    f = genes(spark, d).select("chrom", five.alias("pos"))
+    h = hits(spark, d).groupBy("chrom", "pos", "length").agg(F.count(F.lit(1)).alias("k")).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    h = h.withColumn("end", F.col("pos") + 500 - 50 * F.col("bin")).withColumn("start", F.col("end") - 49)  # the 5' ends to which a hit is in that bin
+    n = iv.points_within(h, f).where("n > 0")
+    return n.groupBy("bin", "length").agg(F.sum(F.col("k") * F.col("n")).alias("n"))
 
 
 @query("""WITH c AS (SELECT l_partkey, count(*) AS k, max(l_extendedprice) AS best FROM lineitem WHERE l_quantity >= 5 AND l_discount <= 0.08 GROUP BY 1 HAVING count(*) <= 40)
