@@ -151,8 +151,12 @@ def annotation_bits(spark, d):
 
 @query(f"""WITH {REGIONS}, {GENES} SELECT r.id, g.type, sum(least(r.e, g.e) - greatest(r.s, g.s) + 1) / max(r.e - r.s + 1) AS share FROM r JOIN g ON {OV} GROUP BY 1, 2""")
 def annotation_share(spark, d):
-    j = iv.interval_join(regions(spark, d), genes(spark, d))
-    return j.groupBy("id", F.col("r_type").alias("type")).agg((F.sum(iv.overlap_width()) / F.max(F.col("end") - F.col("start") + 1)).alias("share"))
+    r = regions(spark, d)
+    g = genes(spark, d).withColumn("_type", F.coalesce(F.concat(F.lit("="), "type"), F.lit("")))  # a null is a type of its own
+    types = g.select("chrom", "_type").distinct()
+    t = iv.overlap_totals(r.select("chrom", "start", "end").distinct().join(types, "chrom"), g, by=["chrom", "_type"]).where("n_all > 0")
+    type_ = F.when(F.col("_type") != "", F.expr("substr(_type, 2)")).alias("type")
+    return r.join(t, ["chrom", "start", "end"]).groupBy("id", type_).agg((F.sum("width_all") / F.max(F.col("end") - F.col("start") + 1)).alias("share"))
 
 
 @query(f"""WITH {REGIONS}, {GENES} SELECT g.id, arg_max(r.id, struct_pack(w := least(r.e, g.e) - greatest(r.s, g.s) + 1, i := -r.id)) AS region FROM g JOIN r ON {OV} GROUP BY g.id""")
