@@ -45,7 +45,9 @@ def interval_contained(spark, d):
 
 @query(f"WITH {REGIONS}, {GENES} SELECT r.id, sum(greatest(0, least(r.e, g.e) - greatest(r.s, g.s) + 1)) AS width FROM r JOIN g ON {OV} GROUP BY r.id")
 def interval_overlap_length(spark, d):
-    return iv.interval_join(regions(spark, d), genes(spark, d)).groupBy("id").agg(F.sum(iv.overlap_width()).alias("width"))
+    r = regions(spark, d)
+    t = iv.overlap_totals(r, genes(spark, d)).where("n_all > 0")
+    return r.join(t, ["chrom", "start", "end"]).groupBy("id").agg(F.sum("width_all").alias("width"))
 
 
 @query(f"WITH {REGIONS}, {GENES} SELECT r.id, g.id AS r_id, greatest(0, g.s - r.e, r.s - g.e) AS distance FROM r JOIN g ON r.chrom = g.chrom AND r.s - 500 <= g.e AND g.s <= r.e + 500 WHERE greatest(0, g.s - r.e, r.s - g.e) < 500")
