@@ -177,12 +177,13 @@ def windowed_pairs(spark, d):
     AND r.s BETWEEN (CASE WHEN g.strand = '+' THEN g.s ELSE g.e END) AND (CASE WHEN g.strand = '+' THEN g.s ELSE g.e END) + 1000 AND (g.strand = '+' OR r.s = g.e) GROUP BY 1, 2""")
 def offset_profile(spark, d):
     """Offsets of region starts downstream of the plus strand's 5' ends (and at the minus strand's)."""
-    plus = F.col("strand") == "+"
-    five = F.when(plus, F.col("start")).otherwise(F.col("end"))
-    anchors = genes(spark, d).withColumns({"five": five}).withColumns({"start": F.col("five"), "end": F.when(plus, F.col("five") + 1000).otherwise(F.col("five"))})
-    j = iv.interval_join(anchors, regions(spark, d).withColumn("end", F.col("start")))
-    offset = F.when(F.col("strand") == "+", F.col("r_start") - F.col("five")).otherwise(F.col("five") - F.col("r_start"))
-    return j.groupBy("strand", F.floor(offset / 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    five = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
+    anchors = genes(spark, d).groupBy("chrom", "strand", five.alias("five")).agg(F.count(F.lit(1)).alias("k"))
+    last = F.when(F.col("strand") == "+", 10).otherwise(0)  # the last bin is one base wide
+    w = anchors.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).withColumn("start", F.col("five") + F.col("bin") * 100)
+    w = w.withColumn("end", F.when(F.col("bin") == last, F.col("start")).otherwise(F.col("start") + 99))
+    n = iv.points_within(w, regions(spark, d).select("chrom", F.col("start").alias("pos"))).where("n > 0")
+    return n.groupBy("strand", "bin").agg(F.sum(F.col("k") * F.col("n")).alias("n"))
 
 
 @query(f"""WITH {REGIONS}, w AS (SELECT id, chrom, s, lag(s) OVER q AS a, lead(s) OVER q AS b, score FROM r WINDOW q AS (PARTITION BY chrom ORDER BY s, id))
