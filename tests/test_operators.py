@@ -327,3 +327,15 @@ def test_overlap_totals_and_largest_overlap_equal_nested_loop(spark):
     assert got == {k: (len(v), sum(m[0] for m in v), len(plus[k]), sum(m[0] for m in plus[k])) for k, v in met.items()}
     best = {x["id"]: x["r_id"] for x in intervals.largest_overlap(left, right).collect()}
     assert best == {k: -max(v)[1] for k, v in met.items() if v}
+
+
+def test_interval_join_deals_few_bytes_to_all_partitions(spark, monkeypatch):
+    """Small tables: no broadcast, no partition left out, and equal intervals meet once, in blocks of a bounded size."""
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("chrom"), (F.col("id") % 10 * 5000).alias("start")).withColumn("end", F.col("start") + 100)
+    j = intervals.interval_join(rows, rows)
+    assert j.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
+    assert (j.count(), j.where("id % 30 <> r_id % 30").count(), j.distinct().count()) == (300_000, 0, 300_000)
+    for how in ("within", "contains"):
+        assert intervals.interval_join(rows.withColumn("w", F.lit(1)), rows.select("chrom", "start", "end"), how).count() == 300_000
