@@ -339,3 +339,41 @@ def test_interval_join_deals_few_bytes_to_all_partitions(spark, monkeypatch):
     assert (j.count(), j.where("id % 30 <> r_id % 30").count(), j.distinct().count()) == (300_000, 0, 300_000)
     for how in ("within", "contains"):
         assert intervals.interval_join(rows.withColumn("w", F.lit(1)), rows.select("chrom", "start", "end"), how).count() == 300_000
+
+
+def test_agglomeration_of_many_rows_keeps_no_matrix(spark):
+    """Against the plain search of the closest pair, ties included; then a group whose distance matrix would be repeated 3,000 times."""
+    import numpy as np
+
+    v = np.round(np.random.default_rng(2).uniform(0, 6, (70, 2)))
+    centre, members = [x for x in v], [[i] for i in range(len(v))]
+    while len(centre) > 1:
+        d = ((np.array(centre)[:, None] - np.array(centre)[None]) ** 2).sum(2)
+        d[np.tril_indices(len(d))] = np.inf
+        i, j = divmod(int(d.argmin()), len(d))
+        if d[i, j] > 4:
+            break
+        a, b = len(members[i]), len(members[j])
+        centre[i] = (centre[i] * a + centre[j] * b) / (a + b)
+        members[i] += members[j]
+        del centre[j], members[j]
+    got = learn.agglomerate(spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "g int, k int, v array<double>"), ["g"], "k", "v", 2.0)
+    assert {r["k"]: r["cluster"] for r in got.collect()} == {k: min(c) for c in members for k in c}
+    many = spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("k"), F.array((F.col("id") % 1500 * 10).cast("double")).alias("v"))
+    assert learn.agglomerate(many, ["g"], "k", "v", 2.0).where("cluster <> k % 1500").count() == 0
+
+
+def test_affinity_on_line_equals_affinity_over_pairs(spark, monkeypatch):
+    """Equal values, a lone row, a row without a value; and the same over the table of pairs, for groups beyond the bound."""
+    r = random.Random(4)
+    rows = [(i, g, v) for i, (g, v) in enumerate([(g, r.choice([0.0, 0.713, 1.137, 4.019, 4.533, 9.077, 13.211, 13.571])) for g in (1, 1, 2) for _ in range(12)] + [(3, 5.0), (1, None), (4, None), (4, 1.0), (4, 1.0)])]
+    df = spark.createDataFrame(rows, "id long, g int, v double")
+    pairs = [(a[0], b[0], None if a[2] is None or b[2] is None else -abs(a[2] - b[2]) / 2) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1]]
+    at = {a[0]: a[2] for a in rows}
+    places = lambda got: {x["node"]: (at[x["exemplar"]], x["exemplar"] == x["node"]) for x in got.collect()}  # noqa: E731 (rounding decides between equal rows)
+    want = places(learn.affinity(spark.createDataFrame(pairs, "i long, k long, s double"), -1.3))
+    assert places(learn.affinity_on_line(df, "g", "id", "v", 2, -1.3)) == want
+    many = spark.range(20_000).select("id", F.lit(1).alias("g"), (F.col("id") % 2 * 50).cast("double").alias("v"))  # 4 * 10^8 pairs
+    assert learn.affinity_on_line(many, "g", "id", "v", 1, -3.0).where("node % 2 <> exemplar % 2").count() == 0
+    monkeypatch.setattr(learn, "MOST_PLACES", 3)
+    assert places(learn.affinity_on_line(df, "g", "id", "v", 2, -1.3)) == want
