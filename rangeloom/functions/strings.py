@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,25 @@ def merge_strands(counts: DataFrame) -> DataFrame:
 
 def shift_distance(a: Column, b: Column, reach: int) -> Column:
     """Fewest mismatches of two equally long words over shifts of up to ``reach``; bases beyond the other word are mismatches."""
-    x, y = F.split(a, ""), F.split(b, "")
-    n = F.size(x)
 
-    def matches(k: Column) -> Column:
-        same = F.transform(x, lambda c, i: F.when((i + k >= 0) & (i + k < n) & (F.get(y, i + k) == c), 1).otherwise(0))
-        return F.aggregate(same, F.lit(0), lambda t, m: t + m)
-
-    return n - F.array_max(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), matches))
+    @F.pandas_udf("int")
+    def fewest(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+        if known.any():
+            x, y = (np.array(w[known].tolist(), dtype=str) for w in (a, b))
+            n, wide = np.char.str_len(x), max(x.itemsize, y.itemsize) // 4
+            x, y = (w.astype(f"<U{wide}").view(np.uint32).reshape(len(w), wide) for w in (x, y))
+            at = np.arange(wide)
+            best = np.zeros(len(n), int)
+            for k in range(-min(reach, wide - 1), min(reach, wide - 1) + 1):
+                i, j = at[max(0, -k) : wide - max(0, k)], at[max(0, k) : wide - max(0, -k)]
+                same = (x[:, i] == y[:, j]) & (i < n[:, None]) & (j < n[:, None])
+                best = np.maximum(best, same.sum(1))
+            out[known] = n - best
+        return out
+
+    return fewest(a, b)
 
 
 def _is_word(words: list[str]):
