@@ -96,6 +96,16 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return carry(in_order(df, order), [], "_part", order, {name: (F.sum, F.lit(1).cast("long"), True)}).drop("_part")
 
 
+def median(df: DataFrame, value: str) -> DataFrame:
+    """One row, median: the middle value, or the mean of the middle two, from counts of distinct values in order."""
+    by = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    by = carry(in_order(by, [value]), [], "_part", [value], {"_c": (F.sum, F.col("_n"), True)})
+    n = by.agg(F.max("_c").alias("_all"))
+    at = lambda rank: F.min(F.when(F.col("_c") >= rank, F.col(value)))
+    two = by.join(F.broadcast(n)).agg(at(F.floor((F.col("_all") + 1) / 2)).alias("a"), at(F.floor(F.col("_all") / 2) + 1).alias("b"))
+    return two.select((F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+
+
 def bh(df: DataFrame, p: str, ties: list[str], clip: bool = False) -> DataFrame:
     """p * n / rank, without the monotone step; clipped at 1 if asked. Adds q and rank."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))

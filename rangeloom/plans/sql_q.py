@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import table
-from ..functions.stats import ranked
+from ..functions.stats import median, ranked
 from .registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,8 +45,14 @@ def _by_midpoint(spark, sf_dir):
     return ranked(rows, ["m", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
+def _median_scaled(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    a, b = (F.broadcast(median(t, c).withColumnRenamed("median", n)) for c, n in (("l_quantity", "_a"), ("l_extendedprice", "_b")))
+    return t.join(a).join(b).select("l_orderkey", "l_linenumber", F.try_divide(F.col("l_quantity") * F.col("_b"), "_a").alias("scaled"))
+
+
 #: Where Spark's own plan for the SQL would be one task: the same rows from operators.
-OWN = {"sql_range_by_midpoint": _by_midpoint}
+OWN = {"sql_median_scaled": _median_scaled, "sql_range_by_midpoint": _by_midpoint}
 
 
 def _run(sql: str):
