@@ -46,10 +46,11 @@ def local_rate(regions: DataFrame, points: DataFrame, scales: list[int]) -> Data
 
 def gate(regions: DataFrame, points: DataFrame, width: int, step: int, rate: float, most: float) -> DataFrame:
     """The regions of which some window holds so many points that P(X >= n) at the given rate a base is at most ``most``."""
-    w = iv.sliding(regions, width, step).select("id", "chrom", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
-    seen = iv.points_within(w, points).select("id", "n", F.lit(rate * width).alias("mean"))
-    p = stats.poisson_tail(seen, "n", "mean", "p")
-    return p.groupBy("id").agg(F.min("p").alias("p")).where(F.col("p") <= most)
+    start = F.col("w_start").alias("start")
+    w = iv.sliding(regions.select("chrom", "start", "end").distinct(), width, step).select("chrom", start).distinct().withColumn("end", F.col("start") + width - 1)
+    p = stats.poisson_tail(iv.points_within(w, points).withColumn("mean", F.lit(rate * width)), "n", "mean", "p").where(F.col("p") <= most)
+    passing = p.select("chrom", "start", "p")  # each window once, however many regions have it
+    return iv.sliding(regions, width, step).select("id", "chrom", start).join(passing, ["chrom", "start"]).groupBy("id").agg(F.min("p").alias("p"))
 
 
 def scaling_slope(one: DataFrame, two: DataFrame, width: int) -> DataFrame:
